@@ -7,7 +7,6 @@ instant. Its end is excluded too (`open`) or included (`half_open`).
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +36,15 @@ def with_frame_ends(releases: DataFrame, frames: Iterable[int]) -> DataFrame:
     return releases.withColumn("release_ts", release_ts).withColumns(ends)
 
 
-def before_end(ts: Column, end: Column, bounds: str) -> Column:
+def _before(bounds: str) -> str:
     if bounds not in BOUNDS:
         raise ValueError(f"bounds must be one of {BOUNDS}")
-    return ts < end if bounds == "open" else ts <= end
+    return "<" if bounds == "open" else "<="
 
 
 def in_frame(minutes: int, bounds: str = "open", ts: str = "ts") -> Column:
     """Whether a joined quote lies in the frame of so many minutes."""
-    after_release = F.col(ts) > F.col("release_ts")
-    return after_release & before_end(F.col(ts), F.col(f"frame_end_{minutes}"), bounds)
+    return F.expr(f"{ts} > release_ts AND {ts} {_before(bounds)} frame_end_{minutes}")
 
 
 def smallest_frame(frames: Iterable[int], bounds: str = "open", ts: str = "ts") -> Column:
@@ -55,11 +53,8 @@ def smallest_frame(frames: Iterable[int], bounds: str = "open", ts: str = "ts")
     Frames start together, so a frame holds exactly the quotes whose smallest
     frame is not longer than itself.
     """
-    at_or_before_release = F.when(F.col(ts) <= F.col("release_ts"), F.lit(None).cast("int"))
-    return reduce(
-        lambda case, n: case.when(
-            before_end(F.col(ts), F.col(f"frame_end_{n}"), bounds), F.lit(n)
-        ),
-        checked_frames(frames),
-        at_or_before_release,
+    before = _before(bounds)
+    cases = " ".join(
+        f"WHEN {ts} {before} frame_end_{n} THEN {n}" for n in checked_frames(frames)
     )
+    return F.expr(f"CASE WHEN {ts} <= release_ts THEN NULL {cases} END")

@@ -66,41 +66,37 @@ def max_and_close(prices: tuple[str, ...] = ("ask", "bid")) -> list[PricePoint]:
     ]
 
 
-def second_of_day(ts: str = "ts") -> Column:
-    """Seconds since midnight with microseconds, without going through a time zone."""
-    t = F.col(ts)
-    return F.hour(t) * 3600 + F.minute(t) * 60 + F.extract(F.lit("SECOND"), t)
-
-
-def aggregate_point(spec: PricePoint, where: Column, ts: str = "ts") -> list[Column]:
+def aggregate_point(spec: PricePoint, where: str, ts: str = "ts") -> list[Column]:
     """Aggregates over the rows that meet `where`: the price and the time of a point.
 
     The rows of a group must share one day. Ordering by one number that holds time
     and price keeps the buffers fixed-width, hence a hash aggregation; ordering by
     a struct would sort every joined quote first. A price has at most six digits
     and a second of the day five before the point, so the factors keep the two
-    parts of the number apart.
+    parts of the number apart. No time zone takes part.
     """
-    price = F.col(spec.price).cast("decimal(12,6)")
-    time = F.col(ts)
-    usable = where & price.isNotNull()
-    time_first = F.when(usable, second_of_day(ts) * F.lit(10**13) + price)
-    price_first = F.when(usable, price * F.lit(10**12) + second_of_day(ts))
+    price = f"CAST({spec.price} AS DECIMAL(12,6))"
+    usable = f"{where} AND {price} IS NOT NULL"
+    second = f"(hour({ts}) * 3600 + minute({ts}) * 60 + extract(SECOND FROM {ts}))"
+    time_first = f"CASE WHEN {usable} THEN {second} * 10000000000000 + {price} END"
+    price_first = f"CASE WHEN {usable} THEN {price} * 1000000000000 + {second} END"
     aggregates = {
-        "open": (F.min_by(price, time_first), F.min(F.when(usable, time))),
-        "close": (F.max_by(price, time_first), F.max(F.when(usable, time))),
-        "high": (F.max(F.when(usable, price)), F.max_by(time, price_first)),
-        "low": (F.min(F.when(usable, price)), F.min_by(time, price_first)),
+        "open": (f"min_by({price}, {time_first})", f"min(CASE WHEN {usable} THEN {ts} END)"),
+        "close": (f"max_by({price}, {time_first})", f"max(CASE WHEN {usable} THEN {ts} END)"),
+        "high": (f"max(CASE WHEN {usable} THEN {price} END)", f"max_by({ts}, {price_first})"),
+        "low": (f"min(CASE WHEN {usable} THEN {price} END)", f"min_by({ts}, {price_first})"),
     }
     price_agg, ts_agg = aggregates[spec.kind]
-    return [price_agg.alias(spec.partial), ts_agg.alias(f"{spec.partial}_ts")]
+    return [
+        F.expr(f"{price_agg} AS {spec.partial}"),
+        F.expr(f"{ts_agg} AS {spec.partial}_ts"),
+    ]
 
 
-def merge_point(spec: PricePoint, where: Column) -> Column:
+def merge_point(spec: PricePoint, where: str, alias: str) -> Column:
     """Merge partial results of `aggregate_point` that meet `where` into one struct."""
-    price, ts = F.col(spec.partial), F.col(f"{spec.partial}_ts")
-    by_time = F.struct(ts.alias("ts"), price.alias("price"))
-    by_price = F.struct(price.alias("price"), ts.alias("ts"))
-    order = by_time if spec.kind in ("open", "close") else by_price
-    best = F.min if spec.kind in ("open", "low") else F.max
-    return best(F.when(where & price.isNotNull(), order))
+    price, ts = f"{spec.partial} AS price", f"{spec.partial}_ts AS ts"
+    order = f"{ts}, {price}" if spec.kind in ("open", "close") else f"{price}, {ts}"
+    best = "min" if spec.kind in ("open", "low") else "max"
+    usable = f"{where} AND {spec.partial} IS NOT NULL"
+    return F.expr(f"{best}(CASE WHEN {usable} THEN struct({order}) END) AS {alias}")

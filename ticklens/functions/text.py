@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def tick_timestamp(trade_dt: Column) -> Column:
 
 
 def plus_minutes(ts: Column, minutes: int) -> Column:
-    return ts + F.make_dt_interval(mins=F.lit(minutes))
+    return ts + F.lit(timedelta(minutes=minutes))
 
 
 def time_label(hour: Column, minute: Column) -> Column:

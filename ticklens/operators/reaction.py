@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklens.functions.frames import checked_frames, in_frame, smallest_frame, with_frame_ends
@@ -32,6 +32,12 @@ def frame_ticks(
     return join_releases(ticks, calendar).where(in_frame(minutes, bounds))
 
 
+def segment_aggregates(points: list[PricePoint]) -> list[Column]:
+    """What a segment keeps for these points; two that share a partial result keep it once."""
+    partials = {p.partial: p for p in points}
+    return [c for p in partials.values() for c in aggregate_point(p, "segment IS NOT NULL")]
+
+
 def segment_points(
     ticks: DataFrame,
     releases: DataFrame,
@@ -45,13 +51,10 @@ def segment_points(
     prices = sorted({p.price for p in points})
     calendar = with_frame_ends(releases.select(*RELEASE_TIME, *facts), frames)
     joined = join_releases(ticks.select("curr_pair", "day", "ts", *prices), calendar)
-    partials = {p.partial: p for p in points}
-    inside = F.col("segment").isNotNull()
-    aggregates = [column for p in partials.values() for column in aggregate_point(p, inside)]
     return (
         joined.withColumn("segment", smallest_frame(frames, bounds))
         .groupBy(*group, "segment")
-        .agg(*aggregates)
+        .agg(*segment_aggregates(points))
     )
 
 
@@ -66,15 +69,15 @@ def merge_segments(
 
     Segments of one group may come in several rows, as from several loads.
     """
-    best, columns = [], []
-    for n in checked_frames(frames):
-        for p in points:
-            name = f"{p.partial}_{n}"
-            end = f"_{n}" if suffix else ""
-            best.append(merge_point(p, F.col("segment") <= n).alias(name))
-            columns.append(F.col(f"{name}.price").alias(f"{p.price_name}{end}"))
-            columns.append(F.col(f"{name}.ts").alias(f"{p.ts_name}{end}"))
-    return segments.groupBy(*group).agg(*best).select(*group, *columns)
+    minutes = checked_frames(frames)
+    best = [merge_point(p, f"segment <= {n}", f"{p.partial}_{n}") for n in minutes for p in points]
+    columns = [
+        f"{p.partial}_{n}.{field} AS {name}" + (f"_{n}" if suffix else "")
+        for n in minutes
+        for p in points
+        for field, name in (("price", p.price_name), ("ts", p.ts_name))
+    ]
+    return segments.groupBy(*group).agg(*best).selectExpr(*group, *columns)
 
 
 def frame_points(

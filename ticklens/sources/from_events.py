@@ -19,11 +19,11 @@ SECOND_RELEASE_TIME = "14:05"
 
 def digits(ts: Column) -> Column:
     """`YYYYMMDDHHMMSS` and whatever fraction is there, free of time zones."""
-    return F.regexp_replace(ts.cast("string"), "[^0-9]", "")
+    return F.translate(ts.cast("string"), "-: .", "")
 
 
 def day_text(ts: Column) -> Column:
-    return F.regexp_replace(ts.cast("date").cast("string"), "-", "")
+    return F.replace(ts.cast("date").cast("string"), F.lit("-"), F.lit(""))
 
 
 def second_text(ts: Column) -> Column:
@@ -111,10 +111,11 @@ def gap_lines_of(source: DataFrame) -> DataFrame:
 
     A pair may hold a third of all quotes, so the neighbour is looked up within
     the minute, and only the last quote of a minute takes the first one of the
-    pair's next minute that has any.
+    pair's next minute that has any. No two events share a time stamp, so a minute
+    holds a bounded number of them.
     """
     ticks = ticks_of(source).select("curr_pair", "ts").withColumn(
-        "minute", F.date_trunc("minute", "ts").cast("timestamp_ntz")
+        "minute", F.substring(F.col("ts").cast("string"), 1, 16)
     )
     in_minute = Window.partitionBy("curr_pair", "minute").orderBy("ts")
     by_minute = Window.partitionBy("curr_pair").orderBy("minute")

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklens.functions.frames import smallest_frame, with_frame_ends
-from ticklens.functions.points import PricePoint, aggregate_point
+from ticklens.functions.points import PricePoint
 from ticklens.operators.join import join_releases
-from ticklens.operators.reaction import merge_segments, segment_points
+from ticklens.operators.reaction import merge_segments, segment_aggregates, segment_points
 from ticklens.schemas import GROUP, RELEASE_TIME
 
 
@@ -86,13 +86,10 @@ def segment_stream(
         ticks = ticks.withColumn("event_time", F.col("ts").cast("timestamp"))
         ticks = ticks.withWatermark("event_time", watermark)
         keys.append(F.window("event_time", "1 day"))
-    inside = F.col("segment").isNotNull()
-    partials = {p.partial: p for p in points}
-    aggregates = [column for p in partials.values() for column in aggregate_point(p, inside)]
     return (
         join_releases(ticks, calendar)
         .withColumn("segment", smallest_frame(frames, bounds))
         .groupBy(*keys)
-        .agg(*aggregates)
+        .agg(*segment_aggregates(points))
         .drop("window")
     )
