@@ -11,6 +11,7 @@ from ticklens.__main__ import main
 from ticklens.functions import text
 from ticklens.operators import clean
 from ticklens.plans import load, reaction
+from ticklens.schemas import RELEASES, TICKS
 from ticklens.session import new_dir, shared_dir
 from ticklens.sinks import tables as sinks
 from ticklens.sources import files, tables
@@ -97,7 +98,7 @@ def test_job_and_command_line(spark, tmp_path):
     sinks.create_database(spark, db, str(tmp_path / "db"))
     # Without `ts`, as a table that another loader wrote.
     sinks.save_table(cases.ticks(spark).drop("ts"), f"{db}.tick_data")
-    sinks.save_table(cases.releases(spark), f"{db}.release_history")
+    sinks.save_table(cases.releases(spark), f"{db}.releases")
     main(["--frames", "5,1", "--db", db, "--table", "prices", "--files", "1"])
     saved = spark.table(f"{db}.prices")
     wide = reaction.reaction_wide(cases.ticks(spark), cases.releases(spark), [1, 5])
@@ -110,6 +111,22 @@ def test_job_and_command_line(spark, tmp_path):
     assert len(spark.table(f"{db}.prices").columns) == 11
 
 
+def test_loaded_files_as_catalog_tables(spark, tmp_path):
+    db = "fx_" + tmp_path.name.replace("-", "_")
+    sinks.create_database(spark, db, str(tmp_path / "db"))
+    ticks, releases = str(tmp_path / "ticks"), str(tmp_path / "releases")
+    sinks.write_ticks(cases.ticks(spark), ticks, ("curr_pair", "day"))
+    sinks.write_releases(cases.releases(spark), releases)
+    sinks.register_table(spark, f"{db}.tick_data", ticks, TICKS, ("curr_pair", "day"))
+    sinks.register_table(spark, f"{db}.releases", releases, RELEASES)
+    stored = tables.read_table(spark, f"{db}.tick_data", ["day", "ask", "curr_pair"])
+    assert dict(stored.dtypes)["day"] == "string"
+    assert stored.count() == 16
+    name = reaction.run_reaction_job(spark, db, "prices", [1, 5])
+    wide = reaction.reaction_wide(cases.ticks(spark), cases.releases(spark), [1, 5])
+    assert sorted(map(repr, spark.table(name).collect())) == sorted(map(repr, wide.collect()))
+
+
 def test_text_that_names_no_time(spark):
     rows = [("20080230 083000000",), ("20080104 253000000",), ("junk",), ("",), (None,)]
     df = spark.createDataFrame(rows, "trade_dt string")

@@ -14,7 +14,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--db", required=True)
     parser.add_argument("--table", required=True, help="table to create")
     parser.add_argument("--ticks", default="tick_data", help="table of quotes")
-    parser.add_argument("--releases", default="release_history", help="table of releases")
+    parser.add_argument("--releases", default="releases", help="table of releases")
     parser.add_argument("--mode", default="errorifexists", help="save mode")
     parser.add_argument("--files", type=int, help="number of output files")
     options = parser.parse_args(argv)

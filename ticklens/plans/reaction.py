@@ -31,9 +31,8 @@ def reaction(
     bounds: str = "open",
 ) -> DataFrame:
     """Points of a single frame, open and close of the ask by default."""
-    return frame_points(
-        ticks, releases, [minutes], points or open_close(), bounds, suffix=False
-    )
+    single = frame_points(ticks, releases, [minutes], points or open_close(), bounds, suffix=False)
+    return single.select(F.concat("curr_pair", "day").alias("key"), *single.columns)
 
 
 def reaction_high_low(
@@ -107,7 +106,7 @@ def run_reaction_job(
     table: str,
     frames: Iterable[int],
     ticks_table: str = "tick_data",
-    releases_table: str = "release_history",
+    releases_table: str = "releases",
     mode: str = "errorifexists",
     files: int | None = None,
 ) -> str:

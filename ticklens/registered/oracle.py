@@ -107,7 +107,7 @@ def _single(
         _point(k, price, f"{k}_price", f"{k}_price_ts", _inside(minutes, bounds)) for k in kinds
     )
     return f"""{_BASE}
-select curr_pair, "day", trading_hour, trading_min, {points}
+select curr_pair || "day" "key", curr_pair, "day", trading_hour, trading_min, {points}
 from joined group by all"""
 
 

@@ -136,9 +136,7 @@ def write_reaction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = "fx_" + location.rsplit("-", 1)[1]
     sinks.create_database(spark, db, location)
     sinks.save_table(_ticks(spark, sf_dir), f"{db}.tick_data")
-    sinks.save_table(
-        clean.clean_releases(_raw_releases(spark, sf_dir)), f"{db}.release_history"
-    )
+    sinks.save_table(clean.clean_releases(_raw_releases(spark, sf_dir)), f"{db}.releases")
     name = reaction.run_reaction_job(spark, db, "prices_1_to_5", SHORT_FRAMES, files=1)
     return spark.table(name)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticklens.schemas import RELEASES, TICKS
 
@@ -41,6 +42,21 @@ def create_database(spark: SparkSession, name: str, location: str | None = None)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{where}")
 
 
+def register_table(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    schema: T.StructType,
+    partition_by: tuple[str, ...] = (),
+) -> None:
+    """Give a written directory, with all its partitions, a catalog name."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    partitions = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet{partitions} LOCATION '{path}'")
+    if partition_by:
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+
+
 def save_table(
     df: DataFrame, name: str, mode: str = "errorifexists", files: int | None = None
 ) -> None:
