@@ -1,8 +1,8 @@
 """Time the headline queries; print one JSON line.
 
-Every query runs once to warm up and then RUNS times from its input files to its
-last row (`noop` sink); the median counts. Loading the release calendar is part
-of the time.
+The queries run in turn, once to warm up and then RUNS times, each from its input
+files to its last row (`noop` sink); the median counts. Loading the release
+calendar is part of the time.
 """
 
 from __future__ import annotations
@@ -44,14 +44,13 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
-    medians = {}
-    for name in HEADLINE:
-        times = []
-        for _ in range(RUNS + 1):
+    times: dict[str, list[float]] = {name: [] for name in HEADLINE}
+    for _ in range(RUNS + 1):
+        for name in HEADLINE:
             start = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - start)
-        medians[name] = round(statistics.median(times[1:]), 3)
+            times[name].append(time.perf_counter() - start)
+    medians = {name: round(statistics.median(runs[1:]), 3) for name, runs in times.items()}
     spark.stop()
     print(
         json.dumps(

@@ -2,6 +2,7 @@
 
 import cases
 import pytest
+from pyspark.errors import AnalysisException
 
 from ticklens.functions.points import high_low, open_close
 from ticklens.operators.reaction import frame_points, merge_segments
@@ -63,6 +64,23 @@ def test_a_batch_may_run_twice(spark, tmp_path, arriving):
     assert rows_of(incremental.read_increments(spark, out, FRAMES, POINTS)) == rows_of(batch(spark))
 
 
+def test_other_frames_are_not_mixed_in(spark, tmp_path, arriving):
+    deliver, stream = arriving
+    deliver("true")
+    out, releases = str(tmp_path / "out"), cases.releases(spark)
+    incremental.load_increment(stream(), releases, FRAMES, POINTS, out, str(tmp_path / "a"))
+    with pytest.raises(AnalysisException):
+        incremental.read_increments(spark, out, [15], POINTS)
+    with pytest.raises(AnalysisException):
+        incremental.read_increments(spark, out, FRAMES, POINTS, "half_open")
+    incremental.load_increment(
+        stream(), releases, FRAMES, POINTS, out, str(tmp_path / "b"), "half_open"
+    )
+    got = incremental.read_increments(spark, out, FRAMES, POINTS, "half_open")
+    want = frame_points(cases.ticks(spark), releases, FRAMES, POINTS, "half_open")
+    assert rows_of(got) == rows_of(want)
+
+
 def test_stateful_stream_in_complete_mode(spark, tmp_path, arriving):
     deliver, stream = arriving
     deliver("true")

@@ -38,9 +38,10 @@ def join_releases(
     same_day = F.col("day") == F.col("trading_day")
     if fits_broadcast(releases, max_broadcast_bytes):
         # True of every day that can match. Spark prunes the partitions of a quote
-        # table by the days of the calendar only if the calendar is filtered.
-        days = releases.where(F.col("trading_day") >= "")
-        return ticks.join(F.broadcast(days), same_day)
+        # table by the days of the calendar only if the calendar is filtered; naming
+        # a second column keeps the condition from being tested on every quote.
+        calendar = releases.where("trading_day >= '' OR trading_hour >= 0")
+        return ticks.join(F.broadcast(calendar), same_day)
     salted_ticks = ticks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salted_releases = releases.withColumn("release_salt", spread)

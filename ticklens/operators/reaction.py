@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ticklens.functions.frames import checked_frames, in_frame, smallest_frame, with_frame_ends
 from ticklens.functions.points import PricePoint, aggregate_point, merge_point
 from ticklens.functions.text import compact_time_label
-from ticklens.operators.join import join_releases, tick_release_join
+from ticklens.operators.join import join_releases, latest_release_per_day, tick_release_join
 from ticklens.schemas import GROUP, RELEASE_FACTS, RELEASE_TIME
 
 WIDE_GROUP = [*GROUP, *RELEASE_FACTS]
@@ -115,8 +115,8 @@ def release_facts(ticks: DataFrame, releases: DataFrame) -> DataFrame:
 
 def ticks_per_release(ticks: DataFrame, releases: DataFrame) -> DataFrame:
     """How many quotes each pair has on each release day."""
-    days = releases.select("trading_day").distinct()
-    joined = join_releases(ticks.select("curr_pair", "day"), days)
+    per_day = latest_release_per_day(releases)
+    joined = join_releases(ticks.select("curr_pair", "day"), per_day)
     return joined.groupBy("curr_pair", "day").agg(F.count("*").alias("n_ticks"))
 
 

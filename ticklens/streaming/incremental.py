@@ -17,13 +17,18 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.functions.frames import smallest_frame, with_frame_ends
+from ticklens.functions.frames import checked_frames, smallest_frame, with_frame_ends
 from ticklens.functions.points import PricePoint
 from ticklens.operators.join import join_releases
 from ticklens.operators.reaction import merge_segments, segment_aggregates, segment_points
 from ticklens.schemas import GROUP, RELEASE_TIME
 
 
+def _series(segments_dir: str, frames: Iterable[int], bounds: str) -> str:
+    """Segments depend on the frames that cut them, so every list has its own directory."""
+    return f"{segments_dir}/{bounds}-" + "-".join(map(str, checked_frames(frames)))
+
+
 def load_increment(
     ticks_stream: DataFrame,
     releases: DataFrame,
@@ -34,13 +39,15 @@ def load_increment(
     bounds: str = "open",
 ) -> None:
     """Reduce the quotes that have arrived since the last call and append their segments."""
+    frames = checked_frames(frames)
+    target = _series(segments_dir, frames, bounds)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         # Each batch owns one directory, which a repeated run overwrites.
         (
             segment_points(batch, releases, frames, points, bounds)
             .write.mode("overwrite")
-            .parquet(f"{segments_dir}/batch={batch_id}")
+            .parquet(f"{target}/batch={batch_id}")
         )
 
     query = (
@@ -57,10 +64,13 @@ def read_increments(
     segments_dir: str,
     frames: Iterable[int],
     points: list[PricePoint],
+    bounds: str = "open",
     suffix: bool = True,
 ) -> DataFrame:
-    """The points of all quotes loaded so far, for the frames the loads were run with."""
-    return merge_segments(spark.read.parquet(segments_dir), frames, points, GROUP, suffix)
+    """The points of all quotes loaded so far with these frames and bounds."""
+    frames = checked_frames(frames)
+    segments = spark.read.parquet(_series(segments_dir, frames, bounds))
+    return merge_segments(segments, frames, points, GROUP, suffix)
 
 
 def segment_stream(
