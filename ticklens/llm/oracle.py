@@ -29,6 +29,30 @@ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit,
 from dw left join words using (doc_id) left join found using (doc_id)
 """
 
+_OP4 = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
+  from documents),
+shingles as materialized (
+  select distinct doc_id, case when len(w) < 5 then w else w[i:i + 4] end s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) i from words)),
+sizes as materialized (select doc_id, count(*) n from shingles group by 1),
+links as materialized (
+  select a, b from (
+    select x.doc_id a, y.doc_id b, count(*) c from shingles x join shingles y using (s)
+    where x.doc_id <> y.doc_id group by 1, 2)
+  join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+  where 100 * c >= 75 * (p.n + q.n - c)),
+reach as (
+  select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)
+select doc_id, coalesce(n, 0)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id,
+  least(doc_id, coalesce(m, doc_id)) = doc_id kept
+from documents left join sizes using (doc_id)
+  left join (select a doc_id, min(b) m from reach group by 1) using (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op4_near_duplicates": _OP4,
     "op9_decontamination": _OP9,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import decontaminate, quality, tokens
+from ticklens.llm import decontaminate, neardup, quality, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_register
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(_table(spark, sf_dir, "documents"), TOKENIZER)
