@@ -6,12 +6,13 @@
    bucket's smallest hash. Each bucket hashes all shingles, so that short documents leave
    none empty. Bands of four registers are the keys of candidates: a pair of similarity 0.75 shares
    one of 40 bands but for 3 in 10 million cases.
-3. Round one pairs each member of a band's group with its smallest member only. Round two pairs, in
-   groups that still hold more than one component, the members outside of the component of
-   the smallest member with all members of other components. Pairs inside a component are
-   never made, so large groups of near copies stay linear. In groups that would still make more
-   than HOT_COST pairs, a pair must also share a second band, which splits them (a pair of
-   similarity 0.75 has 39 more bands to share; it shares none in 4 of 10 million cases).
+3. Round one pairs each member of a band's group with its most central member only. Round two takes
+   the groups that still hold several components, and compares the members outside of the component of
+   that member with all members of other components: small groups make pairs, large ones are
+   compared in blocks of bounded size that give links only. Pairs inside a component are never
+   made, so large families of near copies stay linear. In groups that would compare more than HOT_COST pairs, a
+   pair must also share a second band, which splits them (a pair of similarity 0.75 has 39 more
+   to share; it shares none in 4 of 10 million cases).
 4. Pairs whose sketches estimate less than 0.75 by a wide margin (corrected for chance collisions of
    registers) are dropped; the rest are confirmed on the full shingle sets.
 
@@ -41,8 +42,12 @@ MANTISSA_BITS = 10
 THRESHOLD = (75, 100)
 #: Five standard errors of a sketch below the threshold.
 ESTIMATE_MARGIN = 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: Pairs that a group may make in round two before a second band must agree.
-HOT_COST = 65_536
+LEAST_ESTIMATE = THRESHOLD[0] / THRESHOLD[1] - ESTIMATE_MARGIN
+#: Groups up to this size make pairs in round two; larger ones are compared in blocks.
+SMALL_GROUP = 8
+BLOCK_U, BLOCK_V = 256, 1024
+#: Pairs that a group may compare in round two before a second band must agree.
+HOT_COST = 1 << 30
 #: Bits of the filter that spares the shuffle of texts without candidates (half a MB).
 FILTER_BITS = 1 << 22
 
@@ -166,7 +171,7 @@ def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             x = np.frombuffer(b"".join(frame["x"]), np.uint16).reshape(-1, REGISTERS)
             y = np.frombuffer(b"".join(frame["y"]), np.uint16).reshape(-1, REGISTERS)
             likely = estimated_jaccard(x, y, frame["na"].to_numpy(), frame["nb"].to_numpy())
-            yield frame.loc[likely >= THRESHOLD[0] / THRESHOLD[1] - ESTIMATE_MARGIN, ["a", "b"]]
+            yield frame.loc[likely >= LEAST_ESTIMATE, ["a", "b"]]
 
     left = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
@@ -239,9 +244,17 @@ def _confirm(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """(key, id, head) of the groups of several members; head is the smallest."""
-    heads = members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-    return members.join(heads.where("head <> last").select("key", "head"), "key")
+    """(key, id, head) of the groups of several members.
+
+    The head is the member that meets most others over all its bands (of equals the smallest):
+    the original of a family of copies is nearer to each copy than the copies to each other.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
+    groups = stored(members.join(sizes.where("m > 1"), "key"), "groups")
+    meets = groups.groupBy("id").agg(F.sum("m").alias("meets"))
+    placed = groups.select("key", "id").join(meets, "id")
+    heads = placed.groupBy("key").agg(F.max(F.struct("meets", -F.col("id"))).alias("h"))
+    return placed.select("key", "id").join(heads.select("key", (-F.col("h.col2")).alias("head")), "key")
 
 
 def _star_pairs(groups: DataFrame) -> DataFrame:
@@ -260,8 +273,12 @@ def _cross_pairs(groups: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rest_pairs(groups: DataFrame, first: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs that share a group and are not in one component yet."""
+def _mixed_groups(groups: DataFrame, first: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, id, component, first, m) of the groups of several components.
+
+    `first` is the component of the head, m the size of the group. Groups that would compare more than
+    HOT_COST pairs are dealt out by a second band.
+    """
     own = first.select("id", F.col("component").alias("c"))
     of_head = first.select(F.col("id").alias("head"), F.col("component").alias("h"))
     placed = (
@@ -271,20 +288,103 @@ def _rest_pairs(groups: DataFrame, first: DataFrame, reps: DataFrame) -> DataFra
             "key", "id", F.coalesce("c", "id").alias("component"), F.coalesce("h", "head").alias("first")
         )
     )
-    sizes = placed.groupBy("key").agg(
-        F.count("*").alias("m"), F.count_if(F.col("component") != F.col("first")).alias("u")
-    )
-    sizes = sizes.where("u > 0").select("key", (F.col("m") * F.col("u")).alias("cost"))
-    mixed = stored(placed.join(sizes, "key"), "mixed_groups")
-    hot = mixed.where(F.col("cost") > HOT_COST).drop("cost").withColumnRenamed("key", "k1")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("key").agg(
+            F.count("*").alias("m"), F.count_if(F.col("component") != F.col("first")).alias("u")
+        )
+        return rows.join(sizes.where("u > 0"), "key")
+
+    found = stored(mixed(placed), "mixed_groups")
+    hot = F.col("m") * F.col("u") > HOT_COST
+    columns = ["key", "id", "component", "first", "m"]
+    if found.where(hot).isEmpty():
+        return found.select(columns)
     bands = band_members(reps).withColumnRenamed("key", "k2")
-    split = hot.join(bands, "id").where("k1 <> k2").select(
-        F.xxhash64("k1", "k2").alias("key"), "id", "component", "first"
+    split = found.where(hot).drop("m", "u").withColumnRenamed("key", "k1").join(bands, "id")
+    split = split.where("k1 <> k2").select(F.xxhash64("k1", "k2").alias("key"), "id", "component", "first")
+    return found.where(~hot).select(columns).unionByName(mixed(split).select(columns))
+
+
+def block_links(u: pd.DataFrame, v: pd.DataFrame) -> tuple[list[int], list[int]]:
+    """Links between two blocks of documents (id, component, sketch, text).
+
+    Sketches that rule a pair out spare it; intersections of the others come from
+    products of 0/1 matrices, a slice of the shingles at a time. One link for a document and
+    component is enough.
+    """
+    values_u, n_u = shingle_sets(pa.array(u["text"], pa.string()))
+    values_v, n_v = shingle_sets(pa.array(v["text"], pa.string()))
+    x = np.frombuffer(b"".join(u["sketch"]), np.uint16).reshape(-1, REGISTERS)
+    y = np.frombuffer(b"".join(v["sketch"]), np.uint16).reshape(-1, REGISTERS)
+    apart = u["component"].to_numpy()[:, None] != v["component"].to_numpy()[None, :]
+    near = 100 * np.minimum.outer(n_u, n_v) >= 75 * np.maximum.outer(n_u, n_v)
+    pairs_u, pairs_v = np.nonzero(apart & near)
+    likely = np.zeros(len(pairs_u), bool)
+    for at in range(0, len(pairs_u), 65_536):
+        i, j = pairs_u[at : at + 65_536], pairs_v[at : at + 65_536]
+        likely[at : at + 65_536] = estimated_jaccard(x[i], y[j], n_u[i], n_v[j]) >= LEAST_ESTIMATE
+    pairs_u, pairs_v = pairs_u[likely], pairs_v[likely]
+    if not len(pairs_u):
+        return [], []
+    known, at_u = np.unique(values_u, return_inverse=True)
+    at_v = np.searchsorted(known, values_v)
+    common = (at_v < len(known)) & (known[np.minimum(at_v, len(known) - 1)] == values_v)
+    row_u, row_v, at_v = owners(n_u), owners(n_v)[common], at_v[common]
+    both = np.zeros((len(u), len(v)), np.float32)
+    width = 4096
+    for low in range(0, len(known), width):
+        left = np.zeros((len(u), width), np.float32)
+        right = np.zeros((len(v), width), np.float32)
+        some = (at_u >= low) & (at_u < low + width)
+        left[row_u[some], at_u[some] - low] = 1
+        some = (at_v >= low) & (at_v < low + width)
+        right[row_v[some], at_v[some] - low] = 1
+        both += left @ right.T
+    shared = both[pairs_u, pairs_v].astype(np.int64)
+    linked = 100 * shared >= 75 * (n_u[pairs_u] + n_v[pairs_v] - shared)
+    found = pd.DataFrame(
+        {
+            "a": u["id"].to_numpy()[pairs_u[linked]],
+            "b": v["id"].to_numpy()[pairs_v[linked]],
+            "c": v["component"].to_numpy()[pairs_v[linked]],
+        }
+    ).drop_duplicates(["a", "c"])
+    return found["a"].tolist(), found["b"].tolist()
+
+
+def _family_links(groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) in large groups, without making rows of pairs.
+
+    All groups whose heads are in one component form a family. Its members outside of
+    that component are compared with all its members, block by block; a block has a bounded
+    number of documents, and every pair of blocks is a group of its own.
+    """
+    family = stored(groups.select("first", "id", "component").distinct(), "families")
+    outside = F.col("component") != F.col("first")
+    sizes = family.groupBy("first").agg(
+        F.ceil(F.count_if(outside) / BLOCK_U).cast("int").alias("nu"),
+        F.ceil(F.count("*") / BLOCK_V).cast("int").alias("nv"),
     )
-    both = split.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    split = split.join(both.where("c0 <> c1").select("key"), "key")
-    cool = mixed.where(F.col("cost") <= HOT_COST).drop("cost")
-    return _cross_pairs(cool.unionByName(split))
+    texts = _with_ids(docs, family.select("id")).withColumnRenamed("doc_id", "id")
+    rows = family.join(sizes, "first").join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    rows = rows.join(texts, "id")
+    place = F.xxhash64("id")
+    u = rows.where(outside).select(
+        "first", "id", "component", "sketch", "text", F.pmod(place, "nu").cast("int").alias("bu"),
+        F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("bv"), F.lit(True).alias("is_u"),
+    )
+    v = rows.select(
+        "first", "id", "component", "sketch", "text",
+        F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("bu"),
+        F.pmod(place, "nv").cast("int").alias("bv"), F.lit(False).alias("is_u"),
+    )
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = block_links(frame[frame["is_u"]], frame[~frame["is_u"]])
+        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+
+    return u.unionByName(v).groupBy("first", "bu", "bv").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -298,8 +398,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = stored(_groups(band_members(reps)), "groups")
     links = _confirm(_estimate(_star_pairs(groups), reps), docs, "star")
     first = stored(components(links), "components")
-    more = _confirm(_estimate(_rest_pairs(groups, first, reps), reps), docs, "rest")
-    final = stored(components(links.union(more)), "components")
+    mixed = stored(_mixed_groups(groups, first, reps), "mixed")
+    small = F.col("m") <= SMALL_GROUP
+    more = _confirm(_estimate(_cross_pairs(mixed.where(small)), reps), docs, "rest")
+    last = stored(_family_links(mixed.where(~small), reps, docs), "family_links")
+    final = stored(components(links.union(more).union(last)), "components")
     by_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         *same, F.coalesce("component", "rep").alias("component_id")
     )
