@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ticklens.llm import licenses, secrets
+
 _OP9 = r"""
 with dw as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -52,7 +54,67 @@ from documents left join sizes using (doc_id)
   left join (select a doc_id, min(b) m from reach group by 1) using (doc_id)
 """
 
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_OP3 = f"""
+with templates(license_id, t) as (values {
+    ", ".join(
+        f"('{name}', {_sql_list(licenses.template_bigrams(text))})"
+        for name, text in licenses.TEMPLATES.items()
+    )
+}),
+lines as (select doc_id, string_split(coalesce(text, ''), chr(10)) l, coalesce(text, '') text from documents),
+units as (
+  select doc_id, unnest(l) unit, unnest(range(1, len(l) + 1)) line_no from lines
+  union all select doc_id, text, 0 from lines where len(l) > 1),
+words as (
+  select doc_id, line_no,
+    list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') w
+  from units),
+pairs as (
+  select doc_id, line_no,
+    list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) b
+  from words where len(w) >= 2)
+select doc_id, line_no::integer line_no, license_id, len(b)::integer n_bigrams,
+  len(list_intersect(b, t))::integer n_shared, 2.0::double * len(list_intersect(b, t)) / (len(b) + len(t)) dice
+from pairs, templates where 2.0::double * len(list_intersect(b, t)) / (len(b) + len(t)) >= 0.75
+"""
+
+
+def _marked(rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"string_split(regexp_replace(text, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+
+
+def _spans(place: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  select r, {place} place, '{rule.kind}' kind, list_sum(list_transform(p[1:i - 1], lambda x: length(x)))::bigint s,
+    length(p[i]) n
+  from (select r, p, unnest(range(2, len(p) + 1, 2)) i from (select r, {_marked(rule)} p from d))
+  where length(regexp_extract(p[i], '{pattern}', {rule.group})) >= {rule.least}"""
+
+
+_OP5 = f"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') as text from documents),
+found as ({" union all ".join(_spans(i, rule) for i, rule in enumerate(secrets.RULES))}),
+listed as (
+  select r, {", ".join(
+    f"count(*) filter (where kind = '{rule.kind}') n_{rule.kind}" for rule in secrets.RULES
+  )},
+    string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, place) spans,
+    string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, place) filter (where place < 3) base
+  from found group by 1)
+select doc_id, {", ".join(f"coalesce(n_{rule.kind}, 0) n_{rule.kind}" for rule in secrets.RULES)},
+  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from d left join listed using (r)
+"""
+
 SQL: dict[str, str] = {
+    "op3_license_scan": _OP3,
     "op4_near_duplicates": _OP4,
+    "op5_secret_scan": _OP5,
     "op9_decontamination": _OP9,
 }

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import decontaminate, neardup, quality, tokens
+from ticklens.llm import decontaminate, fingerprints, licenses, neardup, quality, secrets, tokens
+from ticklens.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,11 +38,28 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_register
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_report(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_register
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = new_dir(spark, "secret_ledger")
+    secrets.create_ledger(spark, ledger)
+    return secrets.secret_report(_table(spark, sf_dir, "documents"), ledger)
+
+
 @_register
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(_table(spark, sf_dir, "documents"), TOKENIZER)
