@@ -65,10 +65,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(texts: pa.Array):
-    """Slices of a column of about 4 MB (a longer text is a slice of its own)."""
+def chunks(texts: pa.Array, size: int = _CHUNK):
+    """Slices of a column of about `size` bytes (a longer text is a slice of its own)."""
     lengths = np.diff(text_bytes(texts)[1])
-    groups = (np.cumsum(lengths) // _CHUNK) if len(lengths) else lengths
+    groups = (np.cumsum(lengths) // size) if len(lengths) else lengths
     edges = [0, *(np.flatnonzero(np.diff(groups)) + 1), len(lengths)]
     for a, b in zip(edges, edges[1:]):
         if b > a:

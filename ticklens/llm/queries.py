@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import decontaminate, fingerprints, licenses, neardup, quality, secrets, tokens
+from ticklens.llm import decontaminate, fingerprints, katz, licenses, neardup, quality, secrets, tokens
 from ticklens.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,8 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, benchmark).drop("items")
+
+
+@_register
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"))
