@@ -143,3 +143,8 @@ def ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def empty_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is evaluated once, however often `use` refers to it."""
+    return F.transform(F.array(value), use)[0]

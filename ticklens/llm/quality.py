@@ -260,9 +260,8 @@ def fit(rows: DataFrame) -> QualityModel:
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score) of each row of `docs`; see the module's text."""
-    stats = stored(document_statistics(docs), "quality_stats")
+def fit_on(stats: DataFrame, labels: DataFrame) -> QualityModel:
+    """Fit on the labelled rows of `stats` whose crc32(doc_id as text) mod 5 is not 0."""
     of_id = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
@@ -270,7 +269,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
     )
-    model = fit(stored(stats.join(of_id, "doc_id"), "quality_labelled"))
+    return fit(stored(stats.join(of_id, "doc_id"), "quality_labelled"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score) of each row of `docs`; see the module's text."""
+    stats = stored(document_statistics(docs), "quality_stats")
+    model = fit_on(stats, labels)
 
     def score(frames):
         for frame in frames:
@@ -280,3 +285,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = F.coalesce(F.pmod(id_crc32(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
     scored = stats.mapInPandas(score, "doc_id bigint, score double")
     return scored.select("doc_id", held_out.alias("held_out"), "score")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The rows of `docs` that score at least `least`, all columns; texts are not shuffled."""
+    model = fit_on(document_statistics(docs), labels)
+    columns = docs.columns
+
+    def keep(batches):
+        for batch in batches:
+            scores = model.score(statistics(batch.column(columns.index("text"))))
+            yield batch.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import decontaminate, fingerprints, katz, licenses, neardup, quality, secrets, tokens
+from ticklens.llm import decontaminate, fingerprints, fixity, katz, licenses, mixing, neardup, quality, secrets, tokens
 from ticklens.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+#: Target shares of the tokens by domain.
+MIX = {"clean": 0.92, "low": 0.07, "toxic": 0.01}
+
 _queries: dict[str, Query] = {}
 
 
@@ -60,11 +63,27 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"), ledger)
 
 
+@_register
+def op6_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return mixing.document_rates(docs, mixing.quality_domains(labels), MIX)
+
+
 @_register
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@_register
+def op8_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica in which some pages are altered and some are lost."""
+    pages = _table(spark, sf_dir, "pages")
+    digit = F.crc32(F.col("page_id").cast("string"))
+    altered = F.when(F.pmod(digit, F.lit(97)) == 0, F.concat("html", F.lit("?"))).otherwise(F.col("html"))
+    replica = pages.where(F.pmod(digit, F.lit(193)) != 0).withColumn("html", altered)
+    return fixity.audit(pages, replica)
+
+
 @_register
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
