@@ -28,7 +28,10 @@ from ticklens.llm.common import bound, empty_text, stored
 MAX_LABELLED = 20_000
 BUCKETS = 4_096
 #: A text counts as at most this many words of evidence.
-EVIDENCE = 100
+EVIDENCE = 40
+#: Words that the distribution over all domains adds to a domain.
+LEAN = 5_000
+IMPOSSIBLE = -1e6
 STEPS = 25
 CLOSE = 1e-3
 
@@ -46,12 +49,28 @@ def _slots(text: Column) -> Column:
 
 
 class Domains:
-    """Log priors and log likelihoods of hashed words; the size is fixed."""
+    """Log priors, and log odds of hashed words against the first domain; the size is fixed.
+
+    `counts` and `documents` are by domain and stratum (the language, say). The first domain is
+    weighted to the strata of the other, so that odds tell domains and not languages.
+    """
 
     def __init__(self, names: list[str], counts: np.ndarray, documents: np.ndarray):
         self.names = names
-        self.prior = np.log((documents + 1) / (documents.sum() + len(names)))
-        self.likelihood = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
+        of_domain = documents.sum(axis=1)
+        # A domain without labelled documents gets no probability, unless none has any.
+        share = of_domain / of_domain.sum() if of_domain.sum() else np.full(len(names), 1 / len(names))
+        self.prior = np.where(share > 0, np.log(np.maximum(share, 1e-300)), IMPOSSIBLE)
+        common = (counts.sum(axis=(0, 1)) + 0.5) / (counts.sum() + 0.5 * BUCKETS)
+        words = counts.sum(axis=2)
+        first = (counts[0] + common) / (words[0] + 1)[:, None]
+        self.likelihood = np.zeros((len(names), BUCKETS))
+        for d in range(1, len(names)):
+            own = (counts[d].sum(axis=0) + LEAN * common) / (words[d].sum() + LEAN)
+            strata = (words[d] + 1e-9) / (words[d] + 1e-9).sum()
+            lean = LEAN / (words[d].sum() + LEAN)
+            other = (1 - lean) * (strata @ first) + lean * common
+            self.likelihood[d] = np.log(own) - np.log(other)
 
     def scored(self, text: Column) -> Column:
         """A struct of `n` (words) and `p` (probabilities in the order of the names)."""
@@ -89,7 +108,9 @@ class Domains:
         return bound(_slots(text), both)
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str]) -> Domains:
+def fit_domains(
+    docs: DataFrame, labelled: DataFrame, names: list[str], within: str | None = "lang"
+) -> Domains:
     """Learn from at most MAX_LABELLED labelled documents; their ids are broadcast."""
     chosen = (
         labelled.where(F.col("domain").isin(names))
@@ -98,17 +119,21 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str]) -> Domai
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(MAX_LABELLED)
     )
-    rows = docs.select("doc_id", empty_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    stratum = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")
+    rows = docs.select("doc_id", stratum.alias("stratum"), empty_text().alias("text"))
+    rows = rows.join(F.broadcast(chosen), "doc_id")
     # Slot -1 counts the documents.
     slots = F.explode(F.concat(F.array(F.lit(-1)), _slots(F.col("text")))).alias("slot")
-    found = rows.select("domain", slots).groupBy("domain", "slot").count().collect()
-    counts, documents = np.zeros((len(names), BUCKETS)), np.zeros(len(names))
+    found = rows.select("domain", "stratum", slots).groupBy("domain", "stratum", "slot").count().collect()
+    strata = sorted({r["stratum"] for r in found}) or [""]
+    counts = np.zeros((len(names), len(strata), BUCKETS))
+    documents = np.zeros((len(names), len(strata)))
     for row in found:
-        at = names.index(row["domain"])
+        at = names.index(row["domain"]), strata.index(row["stratum"])
         if row["slot"] < 0:
             documents[at] = row["count"]
         else:
-            counts[at, row["slot"]] = row["count"]
+            counts[*at, row["slot"]] = row["count"]
     return Domains(names, counts, documents)
 
 
@@ -181,15 +206,16 @@ def document_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     ).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
-def thinned(docs: DataFrame, labelled: DataFrame, kept: dict[str, float], whole: float = 0.9) -> DataFrame:
+def thinned(docs: DataFrame, labelled: DataFrame, kept: dict[str, float], whole: float = 0.5) -> DataFrame:
     """Rows of `docs`, where the tokens of each domain are brought to a share of what they are.
 
-    A document with a rate of `whole` or more stays; others stay by a hash of the id.
+    A document whose probability for the first domain is `whole` or more stays; of the others, the
+    share that their rate says, by a hash of the id.
     """
     model = fit_domains(docs, labelled, list(kept))
     scored = model.scored(empty_text())
     weighed = stored(docs.select(scored.alias("s")).select("s.n", "s.p"), "mixing")
     steps = fit_rates(weighed, factors(kept))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
-    w = bound(scored, lambda s: rate(steps, s["p"]))
-    return docs.where(bound(w, lambda x: (x >= whole) | (chance < x)))
+    stays = bound(scored, lambda s: (s["p"][0] >= whole) | (chance < rate(steps, s["p"])))
+    return docs.where(stays)
