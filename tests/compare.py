@@ -16,6 +16,8 @@ _TYPES = {
     "int": "INTEGER",
     "bigint": "BIGINT",
     "tinyint": "TINYINT",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
     "decimal(12,6)": "DECIMAL(12,6)",
 }

@@ -32,8 +32,8 @@ def tick_parts(trade_dt: Column) -> dict[str, Column]:
 
 
 def figure(text: Column) -> Column:
-    """A release figure such as `-17K` as an integer; NULL if it is empty or not a number."""
-    return F.replace(text, F.lit(THOUSANDS), F.lit("")).try_cast("int")
+    """A release figure such as `-17K` as an integer, fractions cut off; NULL if empty or no number."""
+    return F.replace(text, F.lit(THOUSANDS), F.lit("")).try_cast("decimal(38,6)").try_cast("int")
 
 
 def month_number(release_date: Column) -> Column:

@@ -30,14 +30,16 @@ def parse_gaps(lines: DataFrame, line: str = "line", end_day: bool = False) -> D
     whole_line = f"^{GAP_LINE}$"
     matched = lines.where(F.col(line).rlike(whole_line)).select(
         "curr_pair",
-        F.regexp_extract(line, whole_line, 1).try_cast("int").alias("gap"),
+        F.regexp_extract(line, whole_line, 1).cast("decimal(38,0)").alias("seconds"),
         F.regexp_extract(line, whole_line, 2).alias("start"),
         F.regexp_extract(line, whole_line, 3).alias("end"),
     )
     parts = [F.substring(side, pos, size).alias(name) for name, side, pos, size in _PARTS]
     if end_day:
         parts.append(F.substring("end", 1, 8).alias("end_day"))
-    return matched.where(F.col("gap") != 0).select("curr_pair", "gap", *parts)
+    # A gap that does not fit an int fails the cast instead of vanishing.
+    gap = F.col("seconds").cast("int").alias("gap")
+    return matched.where(F.col("seconds") != 0).select("curr_pair", gap, *parts)
 
 
 def union_gaps(feeds: list[DataFrame]) -> DataFrame:

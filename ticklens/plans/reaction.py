@@ -20,7 +20,6 @@ from ticklens.operators.reaction import (
 )
 from ticklens.schemas import GROUP, RELEASE_FACTS, RELEASE_TIME
 from ticklens.sinks.tables import create_database, save_table
-from ticklens.sources.tables import read_table
 
 
 def reaction(
@@ -117,7 +116,10 @@ def run_reaction_job(
     quotes = spark.table(f"{db}.{ticks_table}")
     if "ts" not in quotes.columns:
         quotes = with_tick_ts(quotes)
-    releases = read_table(spark, f"{db}.{releases_table}", [*RELEASE_TIME, *RELEASE_FACTS])
+    calendar = spark.table(f"{db}.{releases_table}")
+    if "previous" not in calendar.columns:  # older tables spell it in another way
+        calendar = calendar.withColumnRenamed("previoius", "previous")
+    releases = calendar.select(*RELEASE_TIME, *RELEASE_FACTS)
     create_database(spark, db)
     save_table(reaction_wide(quotes, releases, frames), f"{db}.{table}", mode, files)
     return f"{db}.{table}"

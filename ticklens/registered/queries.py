@@ -368,7 +368,14 @@ def gap_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def incremental_reaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = from_events.events(spark, sf_dir).schema
-    arriving = spark.readStream.schema(schema).parquet(sf_dir, pathGlobFilter="events.parquet")
+    table = f"{sf_dir}/events.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    stream = spark.readStream.schema(schema)
+    if status.isDirectory():
+        arriving = stream.parquet(table)
+    else:
+        arriving = stream.parquet(sf_dir, pathGlobFilter="events.parquet")
     segments, points = new_dir(spark, "segments"), open_close()
     incremental.load_increment(
         from_events.ticks_of(arriving),

@@ -12,6 +12,7 @@ pushed to them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,18 @@ from ticklens.operators.reaction import merge_segments, segment_aggregates, segm
 from ticklens.schemas import GROUP, RELEASE_TIME
 
 
-def _series(segments_dir: str, frames: Iterable[int], bounds: str) -> str:
-    """Segments depend on the frames that cut them, so every list has its own directory."""
-    return f"{segments_dir}/{bounds}-" + "-".join(map(str, checked_frames(frames)))
+def _series(
+    segments_dir: str, frames: Iterable[int], bounds: str, points: list[PricePoint]
+) -> str:
+    """Segments depend on frames, bounds and points, so every choice has its own directory."""
+    choice = "-".join([bounds, *map(str, checked_frames(frames))])
+    return f"{segments_dir}/{choice}/" + "-".join(sorted(p.partial for p in points))
+
+
+def _feed(spark: SparkSession, checkpoint_dir: str) -> str:
+    """The id that the checkpoint keeps for its stream; a new checkpoint has a new one."""
+    rows = spark.read.text(f"{checkpoint_dir.rstrip('/')}/metadata").collect()
+    return json.loads("".join(row["value"] for row in rows))["id"]
 
 
 def load_increment(
@@ -40,14 +50,15 @@ def load_increment(
 ) -> None:
     """Reduce the quotes that have arrived since the last call and append their segments."""
     frames = checked_frames(frames)
-    target = _series(segments_dir, frames, bounds)
+    target = _series(segments_dir, frames, bounds, points)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        # Each batch owns one directory, which a repeated run overwrites.
+        # Each batch of a feed owns one directory, which a repeated run overwrites.
+        feed = _feed(batch.sparkSession, checkpoint_dir)
         (
             segment_points(batch, releases, frames, points, bounds)
             .write.mode("overwrite")
-            .parquet(f"{target}/batch={batch_id}")
+            .parquet(f"{target}/feed={feed}/batch={batch_id}")
         )
 
     query = (
@@ -69,7 +80,7 @@ def read_increments(
 ) -> DataFrame:
     """The points of all quotes loaded so far with these frames and bounds."""
     frames = checked_frames(frames)
-    segments = spark.read.parquet(_series(segments_dir, frames, bounds))
+    segments = spark.read.parquet(_series(segments_dir, frames, bounds, points))
     return merge_segments(segments, frames, points, GROUP, suffix)
 
 
@@ -88,6 +99,9 @@ def segment_stream(
     ignored, so leave it out when history is loaded in any order. Time stamps
     without a zone cannot carry a watermark: set the session zone to UTC.
     """
+    zone = ticks_stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    if watermark and zone not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        raise ValueError(f"a watermark needs the session zone UTC, not {zone}")
     prices = sorted({p.price for p in points})
     calendar = with_frame_ends(releases.select(*RELEASE_TIME), frames)
     ticks = ticks_stream.select("curr_pair", "day", "ts", *prices)
