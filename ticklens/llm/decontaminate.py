@@ -32,7 +32,7 @@ def winnow(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     long = counts >= SPAN
     grams, n_grams = windows(hashes, counts, GRAM)
     smallest = grams.copy()
-    for j in range(1, WINDOW):
+    for j in range(1, min(WINDOW, len(grams))):
         np.minimum(smallest[: len(grams) - j], grams[j:], out=smallest[: len(grams) - j])
     owner = owners(n_grams)
     begins = np.cumsum(n_grams) - n_grams
