@@ -97,20 +97,54 @@ def test_encoder_equals_tokenizer_on_odd_texts():
         assert own.tolist() == exact.encode(t, add_special_tokens=False).ids
 
 
-def test_katz_probabilities_add_up_to_one(spark):
-    """After each history: the known words and the unknown one, scored as two-word texts."""
-    base = [(i, t) for i, t in ODD if zlib.crc32(str(i).encode()) % 7 != 2]
-    known = Counter(w for _, t in base for w in (t or "").lower().split())
-    history = known.most_common(3)[-1][0]
-    held = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2]
-    extra = [f"{history} {w}" for w in [*known, "never-seen"]] + [history]
-    probes = list(zip(held, extra))
-    rows = {r["doc_id"]: r["score"] for r in katz.katz_scores(frame(spark, [*base, *probes])).collect()}
-    # Subtract what follows the second word by scoring it as a history of the end.
-    single = list(zip(held, [*known, "never-seen", ""]))
-    ends = {r["doc_id"]: r["score"] for r in katz.katz_scores(frame(spark, [*base, *single])).collect()}
-    assert all(math.isfinite(v) and v <= 0 for v in [*rows.values(), *ends.values()])
-    assert len(probes) == len(extra)
+def katz_by_hand(rows):
+    """Probability of a word (None: the end) after another, and the training words, from plain dictionaries."""
+    words, pairs = Counter(), Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            line = [*(text or "").encode().lower().split(), None]
+            words.update(line)
+            pairs.update(zip([None, *line], line))
+    sizes = [[list(c.values()).count(r) for r in range(1, katz.COUNTED + 1)] for c in (words, pairs)]
+    alone = katz.Unigrams(np.array([*sizes[0], len(words), sum(words.values())]))
+    kept = katz.Discounts(np.array(sizes[1]))
+
+    def single(word):
+        return float(alone(np.array([words[word]]))[0])
+
+    def share(before, word):
+        n = pairs[before, word]
+        return float(kept(np.array([n]))[0]) * n / words[before]
+
+    def probability(before, word):
+        if not words[before]:
+            return single(word)
+        if pairs[before, word]:
+            return share(before, word)
+        seen = [w for w in words if pairs[before, w]]
+        left = 1 - sum(share(before, w) for w in seen)
+        return left / (1 - sum(map(single, seen))) * single(word)
+
+    return probability, words
+
+
+def test_katz_equals_brute_force_and_adds_up_to_one(spark):
+    held = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    probes = ["w1 never-seen W2", "never-seen never-seen", "a é w3 w3", "", None, "w4 w5 w6 w7"]
+    rows = [*ODD, *zip(held, probes)]
+    probability, words = katz_by_hand(rows)
+    for before in [*words, b"never-seen"]:
+        assert math.isclose(sum(probability(before, w) for w in [*words, b"never-seen"]), 1, rel_tol=1e-9)
+    found = {r["doc_id"]: r for r in katz.katz_scores(frame(spark, rows)).collect()}
+    total, kinds = sum(words.values()), len(words)
+    for i, text in rows:
+        line, row = [*(text or "").encode().lower().split(), None], found[i]
+        score = sum(math.log10(probability(h, w)) for h, w in zip([None, *line], line))
+        base = sum(math.log10((words[w] + 1) / (total + kinds + 1)) for w in line)
+        assert math.isclose(row["score"], score, rel_tol=1e-9)
+        assert math.isclose(row["base_score"], base, rel_tol=1e-9)
+        assert (row["n_tokens"], row["n_known"]) == (len(line), sum(words[w] > 0 for w in line))
+        assert (row["held_out"], row["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, total)
 
 
 def test_ledger_scans_only_what_is_new(spark):
