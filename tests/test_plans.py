@@ -7,7 +7,7 @@ import pytest
 
 from ticklens.functions.points import open_close
 from ticklens.operators import join
-from ticklens.operators.reaction import segment_points
+from ticklens.operators.reaction import merge_segments, segment_points
 from ticklens.plans import reaction
 from ticklens.registered import queries
 from ticklens.sinks import tables as sinks
@@ -90,3 +90,26 @@ def test_gap_feed_windows_are_bounded(spark):
     """The window over single quotes is partitioned by the minute, not only by the pair."""
     text = plan(queries.all_queries()["gap_parse_end_day"](spark, SF_DIR))
     assert re.search(r"hashpartitioning\(curr_pair#\d+, minute#\d+", text)
+
+
+def test_dense_calendars_are_joined_by_stretches_of_minutes(stored):
+    text = plan(segment_points(*stored, [1, 5], open_close(), banded=True))
+    assert re.search(r"BroadcastHashJoin \[day#\d+, band#\d+L?\]", text)
+    assert "SortMergeJoin" not in text and "NestedLoop" not in text
+
+
+@pytest.mark.parametrize("bounds", ["open", "half_open"])
+@pytest.mark.parametrize("max_bytes", [0, join.MAX_BROADCAST_BYTES])
+def test_both_joins_give_the_same_points(spark, monkeypatch, bounds, max_bytes):
+    ticks, releases = cases.ticks(spark), cases.releases(spark)
+    monkeypatch.setattr(join.frame_candidates, "__defaults__", (None, max_bytes))
+    found = [
+        merge_segments(
+            segment_points(ticks, releases, [1, 7, 60], open_close(), bounds, banded=banded),
+            [1, 7, 60],
+            open_close(),
+        )
+        for banded in (False, True)
+    ]
+    first, second = (sorted(map(repr, df.collect())) for df in found)
+    assert first == second and first

@@ -36,6 +36,12 @@ def with_frame_ends(releases: DataFrame, frames: Iterable[int]) -> DataFrame:
     return releases.withColumn("release_ts", release_ts).withColumns(ends)
 
 
+def minute_band(ts: Column, width: int) -> Column:
+    """The number of the stretch of `width` minutes that a time lies in."""
+    minute = F.unix_date(ts.cast("date")) * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return F.floor(minute / width)
+
+
 def _before(bounds: str) -> str:
     if bounds not in BOUNDS:
         raise ValueError(f"bounds must be one of {BOUNDS}")

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticklens.functions.frames import minute_band
 from ticklens.schemas import RELEASE_FACTS, RELEASE_TIME
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
+#: Calendars with more releases on a day are joined by stretches of minutes.
+DENSE_DAY = 8
 
 
 def row_bytes(schema: T.StructType) -> int:
@@ -17,9 +20,11 @@ def row_bytes(schema: T.StructType) -> int:
     return 32 + sum(64 if isinstance(f.dataType, T.StringType) else 16 for f in schema)
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Count the rows (one aggregation, nothing collected) and compare with the bound."""
-    return df.count() * row_bytes(df.schema) <= max_bytes
+def calendar_size(releases: DataFrame) -> tuple[int, int]:
+    """Rows of a calendar, and the most on one day."""
+    per_day = releases.groupBy("trading_day").agg(F.count("*").alias("n"))
+    rows, most = per_day.agg(F.sum("n"), F.max("n")).first()
+    return rows or 0, most or 0
 
 
 def join_releases(
@@ -27,8 +32,11 @@ def join_releases(
     releases: DataFrame,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     salts: int = SALTS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Inner join of quotes and releases on the day.
+    """Inner join of quotes and releases on the day, and on `band` where quotes have one.
+
+    `rows` is the number of releases, if it is known; else they are counted.
 
     A release calendar within the bound is broadcast: quotes stay where they are
     read, whatever share of them one day holds. A larger one is joined through a
@@ -36,7 +44,10 @@ def join_releases(
     that of its input partition, so it is the same when a task is run again.
     """
     same_day = F.col("day") == F.col("trading_day")
-    if fits_broadcast(releases, max_broadcast_bytes):
+    if "band" in ticks.columns:
+        same_day &= F.col("band") == F.col("release_band")
+    rows = releases.count() if rows is None else rows
+    if rows * row_bytes(releases.schema) <= max_broadcast_bytes:
         # True of every day that can match. Spark prunes the partitions of a quote
         # table by the days of the calendar only if the calendar is filtered; naming
         # a second column keeps the condition from being tested on every quote.
@@ -50,6 +61,36 @@ def join_releases(
     ).drop("salt", "release_salt")
 
 
+def frame_candidates(
+    ticks: DataFrame,
+    calendar: DataFrame,
+    longest: int,
+    banded: bool | None = None,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Quotes with the releases whose frames may hold them; exact bounds are tested later.
+
+    `calendar` has the ends of frames of up to `longest` minutes. With few releases on
+    a day these are all releases of the day. With more (or `banded`), a release is spread over the two
+    stretches of `longest` minutes that its frames touch, and joined with the quotes of these only, so
+    the rows grow with the quotes in frames and not with the releases of the day. Each pair
+    has a further row, without a quote, for every release of its days: a group without a quote in a
+    frame keeps its row.
+    """
+    rows, most = calendar_size(calendar)
+    if not (most > DENSE_DAY if banded is None else banded):
+        return join_releases(ticks, calendar, max_broadcast_bytes, rows=rows)
+    first, last = (
+        minute_band(F.col(c), longest) for c in ("release_ts", f"frame_end_{longest}")
+    )
+    spread = calendar.withColumn("release_band", F.explode(F.sequence(first, last)))
+    quotes = ticks.withColumn("band", minute_band(F.col("ts"), longest))
+    near = join_releases(quotes, spread, max_broadcast_bytes, rows=2 * rows)
+    days = ticks.select("curr_pair", "day").distinct()
+    groups = join_releases(days, calendar, max_broadcast_bytes, rows=rows)
+    return near.drop("band", "release_band").unionByName(groups, allowMissingColumns=True)
+
+
 def tick_release_join(ticks: DataFrame, releases: DataFrame) -> DataFrame:
     """Each quote of a release day with the facts of that release."""
     return join_releases(ticks, releases.select(*RELEASE_TIME, *RELEASE_FACTS))

@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 from ticklens.functions.frames import checked_frames, in_frame, smallest_frame, with_frame_ends
 from ticklens.functions.points import PricePoint, aggregate_point, merge_point
 from ticklens.functions.text import compact_time_label
-from ticklens.operators.join import join_releases, latest_release_per_day, tick_release_join
+from ticklens.operators.join import (
+    frame_candidates,
+    join_releases,
+    latest_release_per_day,
+    tick_release_join,
+)
 from ticklens.schemas import GROUP, RELEASE_FACTS, RELEASE_TIME
 
 WIDE_GROUP = [*GROUP, *RELEASE_FACTS]
@@ -29,7 +34,7 @@ def frame_ticks(
 ) -> DataFrame:
     """The quotes inside the frame, with their release."""
     calendar = with_frame_ends(releases.select(*RELEASE_TIME), [minutes])
-    return join_releases(ticks, calendar).where(in_frame(minutes, bounds))
+    return frame_candidates(ticks, calendar, minutes).where(in_frame(minutes, bounds))
 
 
 def segment_aggregates(points: list[PricePoint]) -> list[Column]:
@@ -45,12 +50,15 @@ def segment_points(
     points: list[PricePoint],
     bounds: str = "open",
     group: list[str] = GROUP,
+    banded: bool | None = None,
 ) -> DataFrame:
     """Price points per group and segment; the segment of quotes outside all frames is NULL."""
+    frames = checked_frames(frames)
     facts = [name for name in group if name in RELEASE_FACTS]
     prices = sorted({p.price for p in points})
     calendar = with_frame_ends(releases.select(*RELEASE_TIME, *facts), frames)
-    joined = join_releases(ticks.select("curr_pair", "day", "ts", *prices), calendar)
+    quotes = ticks.select("curr_pair", "day", "ts", *prices)
+    joined = frame_candidates(quotes, calendar, frames[-1], banded)
     return (
         joined.withColumn("segment", smallest_frame(frames, bounds))
         .groupBy(*group, "segment")
@@ -130,7 +138,8 @@ def max_prices(
 ) -> DataFrame:
     """Highest ask and highest bid of a frame, each on its own."""
     calendar = with_frame_ends(releases.select(*RELEASE_TIME), [minutes])
-    joined = join_releases(ticks.select("curr_pair", "day", "ts", "ask", "bid"), calendar)
+    quotes = ticks.select("curr_pair", "day", "ts", "ask", "bid")
+    joined = frame_candidates(quotes, calendar, minutes)
     inside = in_frame(minutes, bounds)
     return joined.groupBy(*GROUP).agg(
         F.max(F.when(inside, F.col("ask"))).alias("max_ask"),

@@ -45,6 +45,13 @@ releases_two as (
   select release_date, '14:05', previous, forecast, actual from releases_raw)"""
 
 
+_DENSE_RAW = """
+releases_dense as (
+  select release_date, printf('%02d:%02d', slot // 2, slot % 2 * 30) release_time, actual, forecast,
+         previous
+  from (select *, unnest(range(48)) slot from releases_raw))"""
+
+
 def _releases(source: str) -> str:
     return f"""
 releases as (
@@ -75,6 +82,9 @@ def _with(*tables: str) -> str:
 
 
 _BASE = _with(_TICKS, _RAW, _releases("releases_raw"), _TIMED, _JOINED)
+_BASE_DENSE = _with(
+    _TICKS, _RAW, _DENSE_RAW, _releases("releases_dense"), _TIMED, _JOINED
+)
 _BASE_TWO = _with(_TICKS, _RAW, _TWO_RAW, _releases("releases_two"), _TIMED, _JOINED)
 
 
@@ -247,6 +257,7 @@ from joined group by all""",
         "reaction_wide_1_5_10_20": _wide(script),
         "reaction_wide_chained": _wide(short),
         "reaction_two_releases_per_day": _wide(summary, _BASE_TWO),
+        "reaction_dense_calendar": _wide(summary, _BASE_DENSE),
         "price_summary_wide": _summary(summary),
         "release_facts_distinct": f"""{_BASE}
 select distinct curr_pair || "day" key0, previous, forecast, actual, curr_pair, "day",

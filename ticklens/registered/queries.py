@@ -315,6 +315,14 @@ def reaction_two_releases_per_day(spark: SparkSession, sf_dir: str) -> DataFrame
     return reaction.reaction_wide(ticks, releases, SUMMARY_FRAMES)
 
 
+@_register
+def reaction_dense_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release every half hour, so that frames of an hour overlap."""
+    raw = from_events.with_dense_releases(_raw_releases(spark, sf_dir))
+    releases = _stored_releases(spark, raw)
+    return reaction.reaction_wide(_ticks(spark, sf_dir), releases, SUMMARY_FRAMES)
+
+
 @_register
 def price_summary_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks, releases = _ticks(spark, sf_dir), _releases(spark, sf_dir)

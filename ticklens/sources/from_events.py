@@ -149,3 +149,11 @@ def gap_lines_of(source: DataFrame) -> DataFrame:
 
 def _second_of_day(ts: Column) -> Column:
     return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def with_dense_releases(raw: DataFrame) -> DataFrame:
+    """A release every half hour of a day, all with the figures of the day's release."""
+    rows = raw.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(47))))
+    half = F.col("slot")
+    clock = F.format_string("%02d:%02d", (half / 2).cast("int"), half % 2 * 30)
+    return rows.withColumn("release_time", clock).drop("slot")
