@@ -54,6 +54,54 @@ from documents left join sizes using (doc_id)
   left join (select a doc_id, min(b) m from reach group by 1) using (doc_id)
 """
 
+_OP12 = r"""
+with recursive steps(k, b, x) as (
+  select 0, b, b::bigint from range(256) t(b)
+  union all
+  select k + 1, b, case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end
+  from steps where k < 8),
+crc as (select list(x order by b) t from steps where k = 8),
+texts as (
+  select 'd' side, doc_id id, text from documents union all select 'b', null, text from benchmark),
+words as materialized (
+  select side, id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+  from texts),
+grams as materialized (
+  select side, id, array_to_string(w[i:i + k - 1], ' ') f
+  from (select side, id, w, k, unnest(range(1, len(w) - k + 2)) i from words, range(1, 4) n(k))),
+bytes as (
+  select f, list_transform(range(1, 2 * strlen(f), 2), lambda i: ('0x' || substr(h, i, 2))::bigint) b
+  from (select f, hex(encode(f)) h from (select distinct f from grams))),
+hashed as materialized (
+  select f, xor(list_reduce(list_prepend(4294967295::bigint, b),
+    lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295::bigint) % 10000 bucket
+  from bytes, crc),
+counts as materialized (
+  select bucket, count(*) filter (where side = 'b') t, count(*) filter (where side = 'd') s
+  from grams join hashed using (f) group by 1),
+gains as (
+  select b bucket, floor(1000.0::double * ln(
+    ((coalesce(t, 0) + 1.0::double) * (all_s + 10000.0::double))
+    / ((coalesce(s, 0) + 1.0::double) * (all_t + 10000.0::double))))::bigint gain
+  from range(10000) r(b) left join counts on b = bucket,
+    (select sum(t)::double all_t, sum(s)::double all_s from counts)),
+weights as (
+  select id, count(*) n_features, sum(gain)::bigint weight
+  from grams join hashed using (f) join gains using (bucket) where side = 'd' group by 1),
+scored as (
+  select id doc_id, len(w) >= 20 enough, coalesce(n_features, 0) n_features, coalesce(weight, 0)::bigint weight,
+    coalesce(weight, 0)::bigint + floor(-1000.0::double * ln(-ln(
+      (('0x' || substr(sha256('42:' || id), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint score
+  from words left join weights using (id) where side = 'd'),
+placed as (
+  select *, row_number() over (partition by enough order by score desc, doc_id) place,
+    count(*) filter (where enough) over () n from scored)
+select doc_id, n_features, weight, score, case when enough and place <= 5 * n // 100 then place end rank
+from placed
+"""
+
+
 def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -117,4 +165,5 @@ SQL: dict[str, str] = {
     "op4_near_duplicates": _OP4,
     "op5_secret_scan": _OP5,
     "op9_decontamination": _OP9,
+    "op12_importance_resampling": _OP12,
 }

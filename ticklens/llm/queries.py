@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticklens.llm import decontaminate, fingerprints, fixity, katz, licenses, mixing, neardup, quality, secrets, tokens
+from ticklens.llm import (
+    decontaminate,
+    fingerprints,
+    fixity,
+    katz,
+    licenses,
+    mixing,
+    neardup,
+    quality,
+    resample,
+    secrets,
+    tokens,
+)
 from ticklens.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +105,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, benchmark).drop("n_words")
