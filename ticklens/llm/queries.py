@@ -16,6 +16,7 @@ from ticklens.llm import (
     licenses,
     mixing,
     neardup,
+    periodic,
     quality,
     resample,
     secrets,
@@ -107,6 +108,11 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(_table(spark, sf_dir, "documents"))
 
 
+@_register
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
