@@ -12,6 +12,7 @@ from ticklens.llm import (
     decontaminate,
     fingerprints,
     fixity,
+    html_main,
     katz,
     licenses,
     mixing,
@@ -117,3 +118,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return resample.resample(docs, benchmark).drop("n_words")
+
+
+@_register
+def op13_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_texts(_table(spark, sf_dir, "pages"))
