@@ -199,7 +199,7 @@ def _words(node: Node) -> set[str]:
 
 
 def _unwanted(node: Node) -> str:
-    """`always`, `weak` (unless it holds most of the page) or nothing."""
+    """`always`, `strong`, `weak` (not if it holds most of a page that marks no article) or nothing."""
     style = node.attrs.get("style", "").replace(" ", "").lower()
     if "hidden" in node.attrs or "display:none" in style or "visibility:hidden" in style:
         return "always"
@@ -242,7 +242,7 @@ def _mark_unwanted(nodes: list[Node]) -> None:
             holds.add(key)
             if node.parent is not None:
                 holds.add(id(node.parent))
-    whole = size[id(nodes[0])]
+    whole, marked = size[id(nodes[0])], id(nodes[0]) in holds
     for node in nodes:
         key = id(node)
         if node.parent is not None and node.parent.gone:
@@ -250,7 +250,7 @@ def _mark_unwanted(nodes: list[Node]) -> None:
         elif kind[key] == "always":
             node.gone = True
         elif kind[key]:
-            most = kind[key] == "weak" and 2 * size[key] > whole
+            most = kind[key] == "weak" and 2 * size[key] > whole and not marked
             node.gone = key not in holds and not most
 
 
