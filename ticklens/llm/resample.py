@@ -72,20 +72,20 @@ def bucket_counts(texts: DataFrame, ngrams: int = NGRAMS, buckets: int = BUCKETS
 
 
 def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, gain) of every bucket, from the counts of both sides."""
-    t, s = target.withColumnRenamed("n", "t"), corpus.withColumnRenamed("n", "s")
+    """(bucket, gain) of every bucket, from the counts of both sides; each side is computed once."""
     both = (
         corpus.sparkSession.range(buckets)
         .withColumnRenamed("id", "bucket")
-        .join(t, "bucket", "left")
-        .join(s, "bucket", "left")
+        .join(target.withColumnRenamed("n", "t"), "bucket", "left")
+        .join(corpus.withColumnRenamed("n", "s"), "bucket", "left")
         .fillna(0, ["t", "s"])
     )
-    totals = both.agg(F.sum("t").alias("all_t"), F.sum("s").alias("all_s"))  # one row
+    both = stored(both, "bucket_counts")
+    all_t, all_s = both.agg(F.sum("t"), F.sum("s")).first()
     n = float(buckets)
-    ratio = ((F.col("t") + 1.0) * (F.col("all_s") + n)) / ((F.col("s") + 1.0) * (F.col("all_t") + n))
+    ratio = ((F.col("t") + 1.0) * (all_s + n)) / ((F.col("s") + 1.0) * (all_t + n))
     gain = F.floor(F.lit(1000.0) * F.ln(ratio)).cast("bigint")
-    return both.join(F.broadcast(totals)).select("bucket", gain.alias("gain"))
+    return both.select("bucket", gain.alias("gain"))
 
 
 def document_weights(
