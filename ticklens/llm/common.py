@@ -141,6 +141,20 @@ def ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def numbered(docs: DataFrame, name: str = "row") -> tuple[DataFrame, str]:
+    """All rows, stored with a number of their own in ascending doc_id order (missing ids last), and its name.
+
+    Rows are dealt into ranges by id and place, so ids that many rows share do not fill a range.
+    """
+    while name in docs.columns:
+        name += "_"
+    place = name + "_place"
+    order = [F.asc_nulls_last("doc_id"), F.asc(place)]
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
+    return stored(ranged.drop(place).withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def empty_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ticklens.llm.common import ALNUM, chunks, owners, ragged, stored, windows, word_hashes
+from ticklens.llm.common import ALNUM, chunks, numbered, owners, ragged, stored, windows, word_hashes
 
 SPAN = 10
 GRAM = 5
@@ -149,10 +150,14 @@ def _item_windows(text: str) -> tuple[int, np.ndarray] | None:
     return min(int(counts[0]), SPAN), np.unique(windows(hashes, counts, SPAN)[0])
 
 
-_RESULT = (
-    "n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string,"
-    " contaminated boolean"
-)
+_RESULT = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("n_hit", T.LongType()),
+    T.StructField("n_items", T.LongType()),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("items_sha256", T.StringType()),
+    T.StructField("contaminated", T.BooleanType()),
+]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -177,25 +182,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
         .agg(F.collect_list(F.struct("item_id", "texts")).alias("candidates"))
     )
     candidates = stored(candidates, "bench_candidates")
-    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep).join(
+    others = [c for c in keep if c != "text"]
+    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *others).join(
         candidates, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left"
     )
-    return joined.drop("of_doc").mapInArrow(
-        _extend(keep),
-        ", ".join(["doc_id bigint", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
-        + ", " + _RESULT,
+    kept = [docs.schema[c] for c in keep]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *kept, *_RESULT])
+    return joined.drop("of_doc").mapInArrow(_extend(keep), schema)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` whose own text has no passage of the benchmark, whatever their ids."""
+    rows, row = numbered(docs)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    judged = contamination(
+        rows.select(F.col(row).alias("doc_id"), "text", others.alias("others")), benchmark, ["others", "text"]
     )
+    return judged.where("not contaminated").select("others.*", "text").select(docs.columns)
 
 
 def _extend(keep: list[str]):
     def rows(batches):
         known: dict[str, tuple[int, np.ndarray] | None] = {}
         for batch in batches:
-            text_at, wanted_at = 1, 2 + len(keep)
-            for first, part in chunks(batch.column(text_at)):
+            others = [c for c in keep if c != "text"]
+            places = [1 if c == "text" else 2 + others.index(c) for c in keep]
+            for first, part in chunks(batch.column(1)):
                 hashes, counts = word_hashes(part, ALNUM)
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                wanted = batch.column(wanted_at).slice(first, len(part))
+                wanted = batch.column(2 + len(others)).slice(first, len(part))
                 hits = np.zeros(len(part), np.int64)
                 names: list[list[str]] = [[] for _ in range(len(part))]
                 for i in np.flatnonzero(wanted.is_valid().to_numpy(zero_copy_only=False)):
@@ -213,7 +228,7 @@ def _extend(keep: list[str]):
                     names[i] = sorted(found)
                 digests = [hashlib.sha256(",".join(n).encode()).hexdigest() for n in names]
                 columns = [batch.column(0).slice(first, len(part))]
-                columns += [batch.column(2 + j).slice(first, len(part)) for j in range(len(keep))]
+                columns += [batch.column(at).slice(first, len(part)) for at in places]
                 columns += [
                     pa.array(counts.astype(np.int64)),
                     pa.array(hits),

@@ -11,7 +11,7 @@ joined or stored per step. Only built-in functions are used.
 Defined results: a NULL or empty text has no tokens, the prior as its probabilities and a rate like other
 documents; a NULL id is never labelled; labels that are NULL are ignored; of several labels of an id the
 smallest domain name counts; without labels all domains are equally likely; a domain without
-tokens keeps its target unmet. Other columns are passed through by `thinned` and otherwise ignored.
+tokens keeps its target unmet; documents without the column of strata are one stratum. Other columns are passed through by `thinned` and otherwise ignored.
 """
 
 from __future__ import annotations
@@ -119,6 +119,7 @@ def fit_domains(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(MAX_LABELLED)
     )
+    within = within if within in docs.columns else None
     stratum = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")
     rows = docs.select("doc_id", stratum.alias("stratum"), empty_text().alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklens.llm.common import NOT_SPACE, chunks, mix, owners, ragged, stored, windows, word_hashes
+from ticklens.llm.common import NOT_SPACE, chunks, mix, numbered, owners, stored, windows, word_hashes
 from ticklens.llm.components import components
 
 SHINGLE = 5
@@ -415,3 +415,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without near duplicates: of each group, the row of the smallest id.
+
+    Every row is judged by itself: of rows that repeat an id, or have none, and have near the same text one stays as well.
+    Rows without words stay.
+    """
+    rows, row = numbered(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
+    dropped = stored(found.where("not kept").select(F.col("doc_id").alias(row)), "dropped")
+    return rows.join(dropped, row, "left_anti").select(docs.columns)
