@@ -19,28 +19,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score less than LEAST_QUALITY go.
+
+    NULL and empty texts are scored like others; every row is judged by its own text, whatever its id.
+    """
     return quality.good_documents(docs, _table(spark, sf_dir, "labels"), LEAST_QUALITY)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays; documents without an id stay."""
-    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(stored(dropped.distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies the row of the smallest id stays, missing ids last.
+
+    Rows that repeat an id or have none are compared like others: of several with one text, one stays. Rows without words
+    are in no group and stay.
+    """
+    return neardup.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any passage of the benchmark go."""
-    hits = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    hits = stored(hits.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    """Rows whose own text has any passage of the benchmark go.
+
+    A row is not judged by the text of another that repeats its id, and rows without an id are judged as well.
+    """
+    return decontaminate.clean_rows(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely clean than not stay; the others are thinned towards KEPT_TOKENS.
+
+    Without usable labels all domains are equally likely. A missing id draws like an empty one, so such rows of the
+    same probabilities stay or go together.
+    """
     labelled = mixing.quality_domains(_table(spark, sf_dir, "labels"))
     return mixing.thinned(docs, labelled, KEPT_TOKENS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all rows, read back; rows without an id come last, an empty text has its end only."""
     return tokens.token_files(docs, TOKENIZER)
 
 
@@ -52,7 +66,7 @@ STAGES = [
     ("token-ID / binary output", token_output),
 ]
 
-#: Fitting models and tokenising cannot be said in SQL; tests compare with brute force.
+#: Fitting models and tokenising cannot be said in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
