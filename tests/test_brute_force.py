@@ -5,10 +5,13 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from ticklens.functions.frames import in_frame
 from ticklens.functions.points import high_low, max_and_close, open_close
 from ticklens.operators import join
 from ticklens.operators import reaction as ops
+from ticklens.operators.calendar import MAX_BROADCAST_BYTES, frame_calendar
 from ticklens.plans import reaction
 from ticklens.schemas import RELEASES
 
@@ -116,16 +119,78 @@ def test_chained_equals_one_pass(spark, tmp_path):
     assert rows_of(chained) == rows_of(reaction.reaction_wide(ticks, releases, FRAMES))
 
 
-def test_calendar_beyond_the_broadcast_bound(spark):
-    """The salted shuffle join finds the same rows as the broadcast."""
+@pytest.mark.parametrize("rows_per_split", [1, 7, 10_000])
+def test_calendar_beyond_the_broadcast_bound(spark, rows_per_split):
+    """The shuffled join finds the same rows as the broadcast, however hot days are split."""
     ticks, releases = frames(spark, 4)
     ticks = ticks.repartition(13)
     small = join.join_releases(ticks, releases)
-    large = join.join_releases(ticks, releases, max_broadcast_bytes=0, salts=7)
+    large = join.join_releases(ticks, releases, max_broadcast_bytes=0, rows_per_split=rows_per_split)
     assert small.columns == large.columns
     assert rows_of(small) == rows_of(large)
 
 
+def test_only_hot_keys_are_split(spark):
+    ticks, _ = frames(spark, 4)
+    n = {r["day"]: r["count"] for r in ticks.groupBy("day").count().collect()}
+    hot = {r["day"]: r["splits"] for r in join.hot_keys(ticks, ["day"], 500, 1 << 20).collect()}
+    assert hot == {day: -(-k // 500) for day, k in n.items() if k > 500} and len(hot) < len(n)
+    # Where the list would not fit the bound, splits grow instead.
+    assert join.hot_keys(ticks, ["day"], 1, 128).count() <= 1
+
+
+@pytest.mark.parametrize("bounds", ["open", "half_open"])
+@pytest.mark.parametrize("max_bytes", [0, 1000, MAX_BROADCAST_BYTES])
+def test_calendars_of_any_size(spark, bounds, max_bytes):
+    """Bars, and single quotes of frames, with and without bitmaps and broadcasts."""
+    ticks, releases = frames(spark, 6)
+    calendar = frame_calendar(releases, FRAMES, max_broadcast_bytes=max_bytes)
+    segments = ops.segment_points(ticks, calendar, POINTS, bounds)
+    want = ops.frame_points(ticks, releases, FRAMES, POINTS, bounds)
+    assert rows_of(ops.merge_segments(segments, FRAMES, POINTS)) == rows_of(want)
+    got = join.frame_quotes(ticks, calendar, bounds, rows_per_split=9)
+    plain = ticks.join(calendar.releases, F.col("day") == F.col("trading_day"))
+    plain = plain.where(in_frame(FRAMES[-1], bounds))
+    assert got.columns == plain.columns and rows_of(got) == rows_of(plain)
+
+
+def test_bad_times_keep_their_groups(spark):
+    """Quotes without a time, or dated another day than theirs, and releases without a clock."""
+    at = datetime(2024, 3, 8, 8, 30, 30)
+    rows = [
+        ("A", "20240308", None, Decimal(1), Decimal(1)),
+        ("B", "20240308", at + timedelta(days=1), Decimal(1), Decimal(1)),
+        ("C", "20240308", at, Decimal(1), Decimal(2)),
+        (None, "20240308", at, Decimal(1), Decimal(3)),
+        ("D", "20240310", at, Decimal(1), Decimal(1)),
+    ]
+    ticks = spark.createDataFrame(
+        rows, "curr_pair string, day string, ts timestamp_ntz, bid decimal(12,6), ask decimal(12,6)"
+    )
+    times = [("20240308", 8, 30), ("20240308", None, 30), ("20240308", 25, 0), (None, 8, 30)]
+    releases = spark.createDataFrame([("", "", 1, 1, 1, *t) for t in times], RELEASES)
+    result = ops.frame_points(ticks, releases, [1], open_close())
+    got = {(r.curr_pair, r.trading_hour): r.open_price_1 for r in result.collect()}
+    assert got == {
+        (pair, hour): {"C": Decimal(2), None: Decimal(3)}.get(pair) if hour == 8 else None
+        for pair in ("A", "B", "C", None)
+        for hour in (8, None, 25)
+    }
+
+
+@pytest.mark.parametrize("hour", [0, 8, 23])
+def test_known_days_replace_the_other_quotes(spark, tmp_path, hour):
+    """With the partitions of a table, only quotes in frames are read; the result is the same."""
+    ticks, _ = frames(spark, 7)
+    releases = spark.createDataFrame(
+        [("", "", 1, 1, 1, day, hour, 59) for day in ("20240308", "20240309", "20240311")], RELEASES
+    )
+    stored = ticks.withColumn("hour", F.hour("ts"))
+    known = stored.select("curr_pair", "day").distinct()
+    got = reaction.reaction_wide(stored, releases, FRAMES, quoted_days=known)
+    assert rows_of(got) == rows_of(reaction.reaction_wide(ticks, releases, FRAMES))
+
+
 def test_invariants(spark):
     ticks, releases = frames(spark, 5)
     result = ops.frame_points(ticks, releases, FRAMES, open_close() + high_low())

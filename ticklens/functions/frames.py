@@ -36,12 +36,34 @@ def with_frame_ends(releases: DataFrame, frames: Iterable[int]) -> DataFrame:
     return releases.withColumn("release_ts", release_ts).withColumns(ends)
 
 
-def minute_band(ts: Column, width: int) -> Column:
-    """The number of the stretch of `width` minutes that a time lies in."""
-    minute = F.unix_date(ts.cast("date")) * 1440 + F.hour(ts) * 60 + F.minute(ts)
+def minute_number(ts: Column) -> Column:
+    """The number of the minute a time lies in, counted without a break over days."""
+    return F.unix_date(ts.cast("date")).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
+def minute_band(minute: Column, width: int) -> Column:
+    """The number of the stretch of `width` minutes that a minute lies in."""
     return F.floor(minute / width)
 
 
+def on_the_minute(ts: str = "ts") -> Column:
+    """Whether a time is the first instant of its minute, where frames start and end."""
+    return F.expr(f"extract(SECOND FROM {ts}) = 0")
+
+
+def frame_of_minute(frames: Iterable[int], bounds: str = "open") -> Column:
+    """The shortest frame that holds the quotes of a `minute`, or NULL outside all of them.
+
+    Quotes on the minute (`edge`) come apart from the later ones of the minute, since a frame excludes the instant
+    it starts at, and as bounds say the one it ends at.
+    """
+    offset = "(minute - release_minute)"
+    last = "0" if _before(bounds) == "<=" else "1"
+    reach = f"{offset} + CASE WHEN edge THEN {last} ELSE 1 END"
+    cases = " ".join(f"WHEN {reach} <= {n} THEN {n}" for n in checked_frames(frames))
+    return F.expr(f"CASE WHEN {offset} < 0 OR (edge AND {offset} = 0) THEN NULL {cases} END")
+
+
 def _before(bounds: str) -> str:
     if bounds not in BOUNDS:
         raise ValueError(f"bounds must be one of {BOUNDS}")

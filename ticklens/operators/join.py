@@ -2,98 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ticklens.functions.frames import minute_band
+from ticklens.functions.frames import in_frame, minute_band, minute_number
+from ticklens.operators.calendar import MAX_BROADCAST_BYTES, FrameCalendar, row_bytes
 from ticklens.schemas import RELEASE_FACTS, RELEASE_TIME
+from ticklens.session import new_dir
 
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
-#: Calendars with more releases on a day are joined by stretches of minutes.
-DENSE_DAY = 8
+#: Quotes of one key that a shuffled join leaves together.
+ROWS_PER_SPLIT = 1 << 22
+_HOT_BYTES = 128
 
 
-def row_bytes(schema: T.StructType) -> int:
-    """A generous size of one broadcast row: the typed release columns are all short."""
-    return 32 + sum(64 if isinstance(f.dataType, T.StringType) else 16 for f in schema)
-
+def hot_keys(
+    quotes: DataFrame, keys: list[str], rows_per_split: int, max_broadcast_bytes: int
+) -> DataFrame:
+    """(keys, splits) of the keys that more quotes share than a split may hold, stored.
 
-def calendar_size(releases: DataFrame) -> tuple[int, int]:
-    """Rows of a calendar, and the most on one day."""
-    per_day = releases.groupBy("trading_day").agg(F.count("*").alias("n"))
-    rows, most = per_day.agg(F.sum("n"), F.max("n")).first()
-    return rows or 0, most or 0
+    The keys are counted where quotes are read. Not more than the total divided by the size of a split
+    are hot, so a larger split keeps the list within the bound for whatever total.
+    """
+    counts = quotes.groupBy(*keys).agg(F.count("*").alias("n"))
+    path = new_dir(quotes.sparkSession, "key_counts")
+    counts.where(F.col("n") > rows_per_split).write.parquet(path)
+    hot = quotes.sparkSession.read.schema(counts.schema).parquet(path)
+    total = hot.agg(F.sum("n")).first()[0] or 0
+    size = max(rows_per_split, -(-total * _HOT_BYTES // max_broadcast_bytes) if max_broadcast_bytes else 0)
+    return hot.where(F.col("n") > size).select(*keys, F.ceil(F.col("n") / size).alias("splits"))
 
 
 def join_releases(
     ticks: DataFrame,
     releases: DataFrame,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    salts: int = SALTS,
     rows: int | None = None,
+    keys: dict[str, str] | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """Inner join of quotes and releases on the day, and on `band` where quotes have one.
+    """Inner join of quotes and releases on the day, or on `keys` (quote column: release column).
 
     `rows` is the number of releases, if it is known; else they are counted.
 
     A release calendar within the bound is broadcast: quotes stay where they are
     read, whatever share of them one day holds. A larger one is joined through a
-    shuffle in which every day is spread over `salts` keys. The salt of a quote is
-    that of its input partition, so it is the same when a task is run again.
+    shuffle. Keys that hold many quotes are counted first and dealt out over as many
+    splits as their share asks for; releases are copied for these keys only.
     """
-    same_day = F.col("day") == F.col("trading_day")
-    if "band" in ticks.columns:
-        same_day &= F.col("band") == F.col("release_band")
+    keys = keys or {"day": "trading_day"}
+    same = [F.col(a) == F.col(b) for a, b in keys.items()]
     rows = releases.count() if rows is None else rows
     if rows * row_bytes(releases.schema) <= max_broadcast_bytes:
         # True of every day that can match. Spark prunes the partitions of a quote
         # table by the days of the calendar only if the calendar is filtered; naming
         # a second column keeps the condition from being tested on every quote.
         calendar = releases.where("trading_day >= '' OR trading_hour >= 0")
-        return ticks.join(F.broadcast(calendar), same_day)
-    salted_ticks = ticks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    salted_releases = releases.withColumn("release_salt", spread)
-    return salted_ticks.join(
-        salted_releases.hint("merge"), same_day & (F.col("salt") == F.col("release_salt"))
-    ).drop("salt", "release_salt")
+        return ticks.join(F.broadcast(calendar), _all(same))
+    hot = hot_keys(ticks, list(keys), rows_per_split, max_broadcast_bytes)
+    # The split of a quote depends on its values and input partition, so a task that runs again repeats it.
+    place = F.xxhash64(F.spark_partition_id(), *ticks.columns)
+    splits = F.coalesce("splits", F.lit(1))
+    dealt = (
+        ticks.join(F.broadcast(hot), list(keys), "left")
+        .withColumn("split", F.pmod(place, splits))
+        .drop("splits")
+        .select(*ticks.columns, "split")
+    )
+    renamed = hot.withColumnsRenamed(keys)
+    copied = releases.join(F.broadcast(renamed), list(keys.values()), "left").select(
+        *releases.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), splits - 1)).alias("release_split")
+    )
+    met = _all([*same, F.col("split") == F.col("release_split")])
+    return dealt.join(copied.hint("merge"), met).drop("split", "release_split")
 
 
-def frame_candidates(
-    ticks: DataFrame,
-    calendar: DataFrame,
-    longest: int,
-    banded: bool | None = None,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+def _all(conditions: list[Column]) -> Column:
+    met = conditions[0]
+    for condition in conditions[1:]:
+        met &= condition
+    return met
+
+
+def frame_quotes(
+    ticks: DataFrame, calendar: FrameCalendar, bounds: str = "open", rows_per_split: int = ROWS_PER_SPLIT
 ) -> DataFrame:
-    """Quotes with the releases whose frames may hold them; exact bounds are tested later.
-
-    `calendar` has the ends of frames of up to `longest` minutes. With few releases on
-    a day these are all releases of the day. With more (or `banded`), a release is spread over the two
-    stretches of `longest` minutes that its frames touch, and joined with the quotes of these only, so
-    the rows grow with the quotes in frames and not with the releases of the day. Each pair
-    has a further row, without a quote, for every release of its days: a group without a quote in a
-    frame keeps its row.
+    """The quotes inside the longest frame, with each release whose frame holds them.
+
+    Only quotes of touched minutes get as far as the join, which is on the day and on stretches of minutes: the
+    rows grow with the quotes in frames, and not with the releases of a day.
     """
-    rows, most = calendar_size(calendar)
-    if not (most > DENSE_DAY if banded is None else banded):
-        return join_releases(ticks, calendar, max_broadcast_bytes, rows=rows)
-    first, last = (
-        minute_band(F.col(c), longest) for c in ("release_ts", f"frame_end_{longest}")
+    near = calendar.near_quotes(ticks).where("near").drop("near")
+    quotes = near.withColumn("band", minute_band(minute_number(F.col("ts")), calendar.longest))
+    joined = join_releases(
+        quotes,
+        calendar.bands(whole_day=False),
+        calendar.max_broadcast_bytes,
+        rows=2 * calendar.rows,
+        keys={"day": "trading_day", "band": "release_band"},
+        rows_per_split=rows_per_split,
     )
-    spread = calendar.withColumn("release_band", F.explode(F.sequence(first, last)))
-    quotes = ticks.withColumn("band", minute_band(F.col("ts"), longest))
-    near = join_releases(quotes, spread, max_broadcast_bytes, rows=2 * rows)
-    days = ticks.select("curr_pair", "day").distinct()
-    groups = join_releases(days, calendar, max_broadcast_bytes, rows=rows)
-    return near.drop("band", "release_band").unionByName(groups, allowMissingColumns=True)
+    return joined.where(in_frame(calendar.longest, bounds)).drop("band", "release_band")
 
 
-def tick_release_join(ticks: DataFrame, releases: DataFrame) -> DataFrame:
+def tick_release_join(
+    ticks: DataFrame,
+    releases: DataFrame,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
     """Each quote of a release day with the facts of that release."""
-    return join_releases(ticks, releases.select(*RELEASE_TIME, *RELEASE_FACTS))
+    facts = releases.select(*RELEASE_TIME, *RELEASE_FACTS)
+    return join_releases(ticks, facts, max_broadcast_bytes, rows_per_split=rows_per_split)
 
 
 def latest_release_per_day(releases: DataFrame) -> DataFrame:

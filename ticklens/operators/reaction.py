@@ -1,11 +1,8 @@
 """Prices of each pair after each release, for any list of time frames.
 
-Quotes are reduced in two steps. The first puts each joined quote into the shortest
-frame that holds it and reduces every such segment to its price points; nearly
-all rows go here, and their cost does not depend on the number of frames. Every
-input task sends on at most one row per pair, release and segment, so a pair or
-a day that holds a third of all quotes makes no large group. The second step
-merges the few segments that make up each frame.
+Quotes are reduced in two steps. The first makes minute bars (`bars`); nearly all rows go here, and their
+cost depends neither on the number of frames nor on that of releases. The second step merges the
+few bars that make up each frame of each release.
 """
 
 from __future__ import annotations
@@ -15,15 +12,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticklens.functions.frames import checked_frames, in_frame, smallest_frame, with_frame_ends
-from ticklens.functions.points import PricePoint, aggregate_point, merge_point
+from ticklens.functions.frames import checked_frames
+from ticklens.functions.points import PricePoint, merge_point
 from ticklens.functions.text import compact_time_label
-from ticklens.operators.join import (
-    frame_candidates,
-    join_releases,
-    latest_release_per_day,
-    tick_release_join,
-)
+from ticklens.operators.bars import minute_bars, release_bars
+from ticklens.operators.calendar import FrameCalendar, frame_calendar
+from ticklens.operators.join import frame_quotes, join_releases, latest_release_per_day
 from ticklens.schemas import GROUP, RELEASE_FACTS, RELEASE_TIME
 
 WIDE_GROUP = [*GROUP, *RELEASE_FACTS]
@@ -33,37 +27,35 @@ def frame_ticks(
     ticks: DataFrame, releases: DataFrame, minutes: int, bounds: str = "open"
 ) -> DataFrame:
     """The quotes inside the frame, with their release."""
-    calendar = with_frame_ends(releases.select(*RELEASE_TIME), [minutes])
-    return frame_candidates(ticks, calendar, minutes).where(in_frame(minutes, bounds))
+    return frame_quotes(ticks, frame_calendar(releases, [minutes]), bounds)
 
 
-def segment_aggregates(points: list[PricePoint]) -> list[Column]:
-    """What a segment keeps for these points; two that share a partial result keep it once."""
-    partials = {p.partial: p for p in points}
-    return [c for p in partials.values() for c in aggregate_point(p, "segment IS NOT NULL")]
+def _facts(group: list[str]) -> list[str]:
+    return [name for name in group if name in RELEASE_FACTS]
 
 
 def segment_points(
     ticks: DataFrame,
-    releases: DataFrame,
-    frames: Iterable[int],
+    calendar: FrameCalendar,
     points: list[PricePoint],
     bounds: str = "open",
     group: list[str] = GROUP,
-    banded: bool | None = None,
+    quoted_days: DataFrame | None = None,
 ) -> DataFrame:
-    """Price points per group and segment; the segment of quotes outside all frames is NULL."""
-    frames = checked_frames(frames)
-    facts = [name for name in group if name in RELEASE_FACTS]
-    prices = sorted({p.price for p in points})
-    calendar = with_frame_ends(releases.select(*RELEASE_TIME, *facts), frames)
-    quotes = ticks.select("curr_pair", "day", "ts", *prices)
-    joined = frame_candidates(quotes, calendar, frames[-1], banded)
-    return (
-        joined.withColumn("segment", smallest_frame(frames, bounds))
-        .groupBy(*group, "segment")
-        .agg(*segment_aggregates(points))
-    )
+    """Price points per group and segment, the stretch between two frame ends.
+
+    A group without a quote in a frame has a row with segment NULL.
+    """
+    bars = minute_bars(ticks, calendar, points, quoted_days)
+    placed = release_bars(bars, calendar, calendar.frames, bounds)
+    partials = {p.partial: p for p in points}
+    best = [merge_point(p, "segment IS NOT NULL", f"best_{name}") for name, p in partials.items()]
+    fields = [
+        f"best_{name}.{field} AS {name}{suffix}"
+        for name in partials
+        for field, suffix in (("price", ""), ("ts", "_ts"))
+    ]
+    return placed.groupBy(*group, "segment").agg(*best).selectExpr(*group, "segment", *fields)
 
 
 def merge_segments(
@@ -75,7 +67,7 @@ def merge_segments(
 ) -> DataFrame:
     """One row per group with the points of every frame; NULL where a frame has no quote.
 
-    Segments of one group may come in several rows, as from several loads.
+    Segments of one group may come in several rows, as from several loads, or minute by minute.
     """
     minutes = checked_frames(frames)
     best = [merge_point(p, f"segment <= {n}", f"{p.partial}_{n}") for n in minutes for p in points]
@@ -96,10 +88,13 @@ def frame_points(
     bounds: str = "open",
     group: list[str] = GROUP,
     suffix: bool = True,
+    quoted_days: DataFrame | None = None,
 ) -> DataFrame:
     """Price points of every group and frame."""
-    segments = segment_points(ticks, releases, frames, points, bounds, group)
-    return merge_segments(segments, frames, points, group, suffix)
+    calendar = frame_calendar(releases, frames, _facts(group))
+    bars = minute_bars(ticks, calendar, points, quoted_days)
+    placed = release_bars(bars, calendar, calendar.frames, bounds)
+    return merge_segments(placed, calendar.frames, points, group, suffix)
 
 
 def with_labels(wide: DataFrame) -> DataFrame:
@@ -117,15 +112,16 @@ def with_labels(wide: DataFrame) -> DataFrame:
 
 def release_facts(ticks: DataFrame, releases: DataFrame) -> DataFrame:
     """The distinct releases each pair was quoted on."""
-    joined = tick_release_join(ticks.select("curr_pair", "day"), releases)
-    return with_labels(joined.select(*WIDE_GROUP).distinct())
+    quoted = ticks.select("curr_pair", "day").distinct()
+    facts = releases.select(*RELEASE_TIME, *RELEASE_FACTS)
+    return with_labels(join_releases(quoted, facts).select(*WIDE_GROUP).distinct())
 
 
 def ticks_per_release(ticks: DataFrame, releases: DataFrame) -> DataFrame:
     """How many quotes each pair has on each release day."""
-    per_day = latest_release_per_day(releases)
-    joined = join_releases(ticks.select("curr_pair", "day"), per_day)
-    return joined.groupBy("curr_pair", "day").agg(F.count("*").alias("n_ticks"))
+    per_day = ticks.groupBy("curr_pair", "day").agg(F.count("*").alias("n_ticks"))
+    joined = join_releases(per_day, latest_release_per_day(releases))
+    return joined.select("curr_pair", "day", "n_ticks")
 
 
 def release_group_count(ticks: DataFrame, releases: DataFrame) -> DataFrame:
@@ -137,11 +133,8 @@ def max_prices(
     ticks: DataFrame, releases: DataFrame, minutes: int, bounds: str = "half_open"
 ) -> DataFrame:
     """Highest ask and highest bid of a frame, each on its own."""
-    calendar = with_frame_ends(releases.select(*RELEASE_TIME), [minutes])
-    quotes = ticks.select("curr_pair", "day", "ts", "ask", "bid")
-    joined = frame_candidates(quotes, calendar, minutes)
-    inside = in_frame(minutes, bounds)
-    return joined.groupBy(*GROUP).agg(
-        F.max(F.when(inside, F.col("ask"))).alias("max_ask"),
-        F.max(F.when(inside, F.col("bid"))).alias("max_bid"),
-    )
+    highest = [
+        PricePoint("high", price, f"max_{price}", f"max_{price}_ts") for price in ("ask", "bid")
+    ]
+    found = frame_points(ticks, releases, [minutes], highest, bounds, suffix=False)
+    return found.drop(*(p.ts_name for p in highest))

@@ -19,8 +19,8 @@ def load_ticks(
     spark: SparkSession,
     source: str | dict[str, str],
     target: str,
-    partition_by: tuple[str, ...] = ("curr_pair",),
-    rebalance: bool = False,
+    partition_by: tuple[str, ...] = ("curr_pair", "day"),
+    rebalance: bool = True,
 ) -> None:
     """Load quotes from `curr_pair=` directories, or from a directory per named pair."""
     raw = (

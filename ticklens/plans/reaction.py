@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ticklens.functions.frames import checked_frames
 from ticklens.functions.points import PricePoint, high_low, max_and_close, open_close
+from ticklens.operators.calendar import frame_calendar
 from ticklens.operators.clean import with_tick_ts
 from ticklens.operators.reaction import (
     WIDE_GROUP,
@@ -28,9 +29,18 @@ def reaction(
     minutes: int,
     points: list[PricePoint] | None = None,
     bounds: str = "open",
+    quoted_days: DataFrame | None = None,
 ) -> DataFrame:
     """Points of a single frame, open and close of the ask by default."""
-    single = frame_points(ticks, releases, [minutes], points or open_close(), bounds, suffix=False)
+    single = frame_points(
+        ticks,
+        releases,
+        [minutes],
+        points or open_close(),
+        bounds,
+        suffix=False,
+        quoted_days=quoted_days,
+    )
     return single.select(F.concat("curr_pair", "day").alias("key"), *single.columns)
 
 
@@ -51,10 +61,23 @@ def reaction_wide(
     frames: Iterable[int],
     points: list[PricePoint] | None = None,
     bounds: str = "open",
+    quoted_days: DataFrame | None = None,
 ) -> DataFrame:
-    """Release facts and the points of all frames side by side, from one pass over the quotes."""
+    """Release facts and the points of all frames side by side, from one pass over the quotes.
+
+    `quoted_days` as in `operators.bars`: the partitions of the table, so that only quotes in frames are read.
+    """
+    quoted = None if quoted_days is None else _keyed(quoted_days)
     return with_labels(
-        frame_points(_keyed(ticks), releases, frames, points or open_close(), bounds, WIDE_GROUP)
+        frame_points(
+            _keyed(ticks),
+            releases,
+            frames,
+            points or open_close(),
+            bounds,
+            WIDE_GROUP,
+            quoted_days=quoted,
+        )
     )
 
 
@@ -73,10 +96,10 @@ def reaction_wide_chained(
     """
     points = points or open_close()
     spark = ticks.sparkSession
-    segment_points(_keyed(ticks), releases, frames, points, bounds, WIDE_GROUP).write.mode(
-        "overwrite"
-    ).parquet(stage_dir)
-    segments = spark.read.parquet(stage_dir)
+    calendar = frame_calendar(releases, frames, RELEASE_FACTS)
+    staged = segment_points(_keyed(ticks), calendar, points, bounds, WIDE_GROUP)
+    staged.write.mode("overwrite").parquet(stage_dir)
+    segments = spark.read.schema(staged.schema).parquet(stage_dir)
     tables = []
     for n in checked_frames(frames):
         one = merge_segments(segments, [n], points)
@@ -93,10 +116,16 @@ def _text_key() -> Column:
 
 
 def price_summary_wide(
-    ticks: DataFrame, releases: DataFrame, frames: Iterable[int], bounds: str = "half_open"
+    ticks: DataFrame,
+    releases: DataFrame,
+    frames: Iterable[int],
+    bounds: str = "half_open",
+    quoted_days: DataFrame | None = None,
 ) -> DataFrame:
     """Maximum and close of ask and bid, with times, for every frame."""
-    return frame_points(ticks, releases, frames, max_and_close(), bounds, WIDE_GROUP)
+    return frame_points(
+        ticks, releases, frames, max_and_close(), bounds, WIDE_GROUP, quoted_days=quoted_days
+    )
 
 
 def run_reaction_job(

@@ -15,6 +15,12 @@ ticks as (
               as decimal(12,6)) ask
   from events)"""
 
+_EDGE_TICKS = _TICKS.replace("ticks as", "moving_ticks as", 1) + """,
+ticks as (
+  select * from moving_ticks
+  union all
+  select * replace (time_bucket(interval 30 minute, ts) as ts) from moving_ticks)"""
+
 _PARSED = """
 parsed as (
   select trade_dt, substr(trade_dt, 1, 8) "day", cast(substr(trade_dt, 10, 2) as int) "hour",
@@ -85,6 +91,7 @@ _BASE = _with(_TICKS, _RAW, _releases("releases_raw"), _TIMED, _JOINED)
 _BASE_DENSE = _with(
     _TICKS, _RAW, _DENSE_RAW, _releases("releases_dense"), _TIMED, _JOINED
 )
+_BASE_EDGES = _with(_EDGE_TICKS, _RAW, _releases("releases_raw"), _TIMED, _JOINED)
 _BASE_TWO = _with(_TICKS, _RAW, _TWO_RAW, _releases("releases_two"), _TIMED, _JOINED)
 
 
@@ -129,11 +136,19 @@ def _open_close_columns(frames: list[int]) -> str:
     )
 
 
-def _wide(frames: list[int], base: str = _BASE) -> str:
+def _edge_columns(frames: list[int], bounds: str) -> str:
+    return ", ".join(
+        _point(k, "ask", f"{k}_price_{n}", f"{k}_price_ts_{n}", _inside(n, bounds))
+        for n in frames
+        for k in ("open", "close", "high", "low")
+    )
+
+
+def _wide(frames: list[int], base: str = _BASE, columns: str | None = None) -> str:
     return f"""{base},
 grouped as (
   select curr_pair, "day", trading_hour, trading_min, previous, forecast, actual,
-         {_open_close_columns(frames)}
+         {columns or _open_close_columns(frames)}
   from joined group by all)
 select curr_pair || "day" key0, concat(trading_hour, trading_min) "time",
        * exclude (trading_hour, trading_min)
@@ -152,8 +167,8 @@ select curr_pair, "day", trading_hour, trading_min, previous, forecast, actual,
 from joined group by all"""
 
 
-def _frame_rows(bounds: str) -> str:
-    return f"""{_BASE}
+def _frame_rows(bounds: str, base: str = _BASE) -> str:
+    return f"""{base}
 select curr_pair, "day", trading_hour, trading_min, ts, bid, ask
 from joined where {_inside(60, bounds)}"""
 
@@ -226,6 +241,9 @@ from history""",
         "tick_release_join": _with(_TICKS, _PARSED, _RAW, _releases("releases_raw"))
         + _PARSED_JOIN
         + ' from parsed join releases on "day" = trading_day',
+        "tick_release_join_large": _with(_TICKS, _PARSED, _RAW, _releases("releases_raw"))
+        + _PARSED_JOIN
+        + ' from parsed join releases on "day" = trading_day',
         "tick_release_broadcast": _with(
             _TICKS, _PARSED, _RAW, _TWO_RAW, _releases("releases_two")
         )
@@ -238,6 +256,10 @@ last_release as (
         + """ from parsed join last_release on "day" = trading_day where curr_pair = 'EURUSD'""",
         "frame_ticks_open": _frame_rows("open"),
         "frame_ticks_half_open": _frame_rows("half_open"),
+        "frame_ticks_edges_open": _frame_rows("open", _BASE_EDGES),
+        "frame_ticks_edges_half_open": _frame_rows("half_open", _BASE_EDGES),
+        "reaction_edges_open": _wide([], _BASE_EDGES, _edge_columns([30, 60], "open")),
+        "reaction_edges_half_open": _wide([], _BASE_EDGES, _edge_columns([30, 60], "half_open")),
         "reaction_1m": _single(["open", "close"], 1),
         "reaction_5m": _single(["open", "close"], 5),
         "reaction_15m": _single(["open", "close"], 15),
@@ -258,6 +280,8 @@ from joined group by all""",
         "reaction_wide_chained": _wide(short),
         "reaction_two_releases_per_day": _wide(summary, _BASE_TWO),
         "reaction_dense_calendar": _wide(summary, _BASE_DENSE),
+        "reaction_large_calendar": _wide(summary, _BASE_DENSE),
+        "reaction_day_layout": _wide(summary, _BASE.replace(" ts,", " date_trunc('millisecond', ts) ts,")),
         "price_summary_wide": _summary(summary),
         "release_facts_distinct": f"""{_BASE}
 select distinct curr_pair || "day" key0, previous, forecast, actual, curr_pair, "day",

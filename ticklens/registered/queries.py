@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from ticklens.functions import text
 from ticklens.functions.frames import with_frame_ends
-from ticklens.functions.points import open_close, point
+from ticklens.functions.points import high_low, open_close, point
 from ticklens.operators import clean, gaps, join
 from ticklens.operators import reaction as ops
+from ticklens.operators.calendar import frame_calendar
 from ticklens.plans import load, reaction
-from ticklens.schemas import RELEASE_TIME
+from ticklens.schemas import RELEASE_FACTS, RELEASE_TIME
 from ticklens.session import new_dir
 from ticklens.sinks import tables as sinks
 from ticklens.sources import files, from_events, tables
@@ -26,6 +27,8 @@ from ticklens.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The layout and the frames of the original jobs.
+_BY_PAIR = ("curr_pair",)
 SHORT_FRAMES = [1, 2, 3, 4, 5]
 SCRIPT_FRAMES = [1, 5, 10, 20]
 SUMMARY_FRAMES = [1, 5, 15, 60]
@@ -100,7 +103,7 @@ def scan_releases_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def scan_ticks_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "ticks")
-    sinks.write_ticks(clean.clean_ticks(_raw_ticks(spark, sf_dir)), path)
+    sinks.write_ticks(clean.clean_ticks(_raw_ticks(spark, sf_dir)), path, _BY_PAIR, rebalance=False)
     tables.read_ticks(spark, path).createOrReplaceTempView("tick_data")
     return tables.read_table(
         spark, "tick_data", ["day", "hour", "min", "sec", "milli", "bid", "ask", "curr_pair"]
@@ -124,8 +127,8 @@ def write_ticks_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pairs, then one pair again: the others stay."""
     path = new_dir(spark, "ticks")
     ticks = clean.clean_ticks(_raw_ticks(spark, sf_dir))
-    sinks.write_ticks(ticks, path)
-    sinks.write_ticks(ticks.where(F.col("curr_pair") == "EURUSD"), path)
+    sinks.write_ticks(ticks, path, _BY_PAIR, rebalance=False)
+    sinks.write_ticks(ticks.where(F.col("curr_pair") == "EURUSD"), path, _BY_PAIR, rebalance=False)
     return tables.read_ticks(spark, path).drop("ts")
 
 
@@ -182,7 +185,7 @@ def release_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def pair_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "ticks")
-    sinks.write_ticks(clean.clean_ticks(_raw_ticks(spark, sf_dir)), path)
+    sinks.write_ticks(clean.clean_ticks(_raw_ticks(spark, sf_dir)), path, _BY_PAIR, rebalance=False)
     ticks = tables.read_ticks(spark, path).where(F.col("curr_pair") == "EURUSD")
     return ticks.select("curr_pair", "day", "hour", "min", "sec", "milli", "bid", "ask")
 
@@ -202,6 +205,16 @@ def tick_release_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join.tick_release_join(ticks, _releases(spark, sf_dir)).select(*_JOINED)
 
 
+@_register
+def tick_release_join_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of a calendar beyond the broadcast bound, with days split by their share of the quotes."""
+    ticks = clean.clean_ticks(_raw_ticks(spark, sf_dir))
+    joined = join.tick_release_join(
+        ticks, _releases(spark, sf_dir), max_broadcast_bytes=4096, rows_per_split=1000
+    )
+    return joined.select(*_JOINED)
+
+
 @_register
 def tick_release_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pair, and of several releases on a day the last."""
@@ -210,8 +223,12 @@ def tick_release_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join.tick_release_join(ticks, releases).select(*_JOINED)
 
 
-def _frame_ticks(spark: SparkSession, sf_dir: str, bounds: str) -> DataFrame:
-    rows = ops.frame_ticks(_ticks(spark, sf_dir), _releases(spark, sf_dir), 60, bounds)
+def _edge_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_events.edge_ticks_of(from_events.events(spark, sf_dir))
+
+
+def _frame_ticks(spark: SparkSession, sf_dir: str, bounds: str, quotes=_ticks) -> DataFrame:
+    rows = ops.frame_ticks(quotes(spark, sf_dir), _releases(spark, sf_dir), 60, bounds)
     return rows.select("curr_pair", "day", "trading_hour", "trading_min", "ts", "bid", "ask")
 
 
@@ -225,6 +242,16 @@ def frame_ticks_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame_ticks(spark, sf_dir, "half_open")
 
 
+@_register
+def frame_ticks_edges_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frame_ticks(spark, sf_dir, "open", _edge_ticks)
+
+
+@_register
+def frame_ticks_edges_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frame_ticks(spark, sf_dir, "half_open", _edge_ticks)
+
+
 # Single frames
 
 
@@ -309,6 +336,22 @@ def reaction_wide_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reaction.reaction_wide_chained(ticks, releases, SHORT_FRAMES, stage)
 
 
+def _reaction_edges(spark: SparkSession, sf_dir: str, bounds: str) -> DataFrame:
+    """Quotes on the bounds of frames, at tied instants and tied prices."""
+    ticks, releases = _edge_ticks(spark, sf_dir), _releases(spark, sf_dir)
+    return reaction.reaction_wide(ticks, releases, [30, 60], open_close() + high_low(), bounds)
+
+
+@_register
+def reaction_edges_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reaction_edges(spark, sf_dir, "open")
+
+
+@_register
+def reaction_edges_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reaction_edges(spark, sf_dir, "half_open")
+
+
 @_register
 def reaction_two_releases_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks, releases = _ticks(spark, sf_dir), _two_releases(spark, sf_dir)
@@ -323,6 +366,26 @@ def reaction_dense_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reaction.reaction_wide(_ticks(spark, sf_dir), releases, SUMMARY_FRAMES)
 
 
+@_register
+def reaction_large_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calendar beyond the broadcast bound: its bitmaps meet the quotes, its releases the bars."""
+    raw = from_events.with_dense_releases(_raw_releases(spark, sf_dir))
+    ticks, releases = _ticks(spark, sf_dir), _stored_releases(spark, raw)
+    calendar = frame_calendar(releases, SUMMARY_FRAMES, RELEASE_FACTS, max_broadcast_bytes=64 * 1024)
+    segments = ops.segment_points(ticks, calendar, open_close(), group=ops.WIDE_GROUP)
+    wide = ops.merge_segments(segments, SUMMARY_FRAMES, open_close(), ops.WIDE_GROUP)
+    return ops.with_labels(wide)
+
+
+@_register
+def reaction_day_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes at rest by pair and day, sorted by time: only days and hours of frames are read."""
+    path = new_dir(spark, "ticks")
+    sinks.write_ticks(clean.clean_ticks(_raw_ticks(spark, sf_dir)), path)
+    ticks, known = tables.read_ticks(spark, path), tables.quoted_days(spark, path)
+    return reaction.reaction_wide(ticks, _releases(spark, sf_dir), SUMMARY_FRAMES, quoted_days=known)
+
+
 @_register
 def price_summary_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks, releases = _ticks(spark, sf_dir), _releases(spark, sf_dir)

@@ -17,18 +17,19 @@ def write_releases(releases: DataFrame, path: str) -> None:
 def write_ticks(
     ticks: DataFrame,
     path: str,
-    partition_by: tuple[str, ...] = ("curr_pair",),
-    rebalance: bool = False,
+    partition_by: tuple[str, ...] = ("curr_pair", "day"),
+    rebalance: bool = True,
 ) -> None:
     """Overwrite the partitions that `ticks` holds; all others stay as they are.
 
-    Partitioning by pair alone needs no shuffle. Adding the day lets a join with the
-    releases skip the files of all other days; `rebalance` then gathers each
-    partition into files of even size and splits those of a large one.
+    Partitions by pair and day let a join with the releases skip the files of all other days. `rebalance` gathers each
+    partition into files of even size, splits those of a large one, and sorts files by time, so that
+    the hours of a file say whether it has to be read. Partitioning by pair alone, without it, needs no shuffle.
     """
     columns = ticks.select(*TICKS.names)
     if rebalance:
         columns = columns.hint("rebalance", *map(F.col, partition_by))
+        columns = columns.sortWithinPartitions(*partition_by, "ts")
     (
         columns.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

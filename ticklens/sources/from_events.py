@@ -58,6 +58,19 @@ def ticks_of(source: DataFrame) -> DataFrame:
     )
 
 
+def edge_ticks_of(source: DataFrame) -> DataFrame:
+    """Every quote, and each once more at the half hour before it.
+
+    Half hours are where frames start and end, so many quotes lie on the bounds of frames, at one instant, and at one
+    price.
+    """
+    ticks = ticks_of(source)
+    half = F.expr(
+        "date_trunc('hour', ts) + make_dt_interval(0, 0, 30 * (minute(ts) DIV 30))"
+    ).cast("timestamp_ntz")
+    return ticks.unionByName(ticks.withColumn("ts", half))
+
+
 def raw_ticks_of(source: DataFrame) -> DataFrame:
     """The quotes in the columns of the text feed."""
     return ticks_of(source).select(

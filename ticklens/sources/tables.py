@@ -12,6 +12,11 @@ def read_ticks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TICKS).parquet(path)
 
 
+def quoted_days(spark: SparkSession, path: str) -> DataFrame:
+    """(curr_pair, day) with quotes, of a table partitioned by both: no column is read."""
+    return read_ticks(spark, path).select("curr_pair", "day").distinct()
+
+
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RELEASES).parquet(path)
 

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklens.functions.frames import checked_frames, smallest_frame, with_frame_ends
-from ticklens.functions.points import PricePoint
+from ticklens.functions.points import PricePoint, aggregate_point
+from ticklens.operators.calendar import frame_calendar
 from ticklens.operators.join import join_releases
-from ticklens.operators.reaction import merge_segments, segment_aggregates, segment_points
+from ticklens.operators.reaction import merge_segments, segment_points
 from ticklens.schemas import GROUP, RELEASE_TIME
 
 
@@ -51,12 +52,13 @@ def load_increment(
     """Reduce the quotes that have arrived since the last call and append their segments."""
     frames = checked_frames(frames)
     target = _series(segments_dir, frames, bounds, points)
+    calendar = frame_calendar(releases, frames)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         # Each batch of a feed owns one directory, which a repeated run overwrites.
         feed = _feed(batch.sparkSession, checkpoint_dir)
         (
-            segment_points(batch, releases, frames, points, bounds)
+            segment_points(batch, calendar, points, bounds)
             .write.mode("overwrite")
             .parquet(f"{target}/feed={feed}/batch={batch_id}")
         )
@@ -114,6 +116,6 @@ def segment_stream(
         join_releases(ticks, calendar)
         .withColumn("segment", smallest_frame(frames, bounds))
         .groupBy(*keys)
-        .agg(*segment_aggregates(points))
+        .agg(*[c for p in {p.partial: p for p in points}.values() for c in aggregate_point(p, 'segment IS NOT NULL')])
         .drop("window")
     )
