@@ -48,14 +48,19 @@ def segment_points(
     """
     bars = minute_bars(ticks, calendar, points, quoted_days)
     placed = release_bars(bars, calendar, calendar.frames, bounds)
+    return merge_rows(placed, points, [*group, "segment"])
+
+
+def merge_rows(segments: DataFrame, points: list[PricePoint], keys: list[str]) -> DataFrame:
+    """Partial points of rows of the same keys merged into one row."""
     partials = {p.partial: p for p in points}
     best = [merge_point(p, "segment IS NOT NULL", f"best_{name}") for name, p in partials.items()]
     fields = [
-        f"best_{name}.{field} AS {name}{suffix}"
+        f"best_{name}.{part} AS {name}{suffix}"
         for name in partials
-        for field, suffix in (("price", ""), ("ts", "_ts"))
+        for part, suffix in (("price", ""), ("ts", "_ts"))
     ]
-    return placed.groupBy(*group, "segment").agg(*best).selectExpr(*group, "segment", *fields)
+    return segments.groupBy(*keys).agg(*best).selectExpr(*keys, *fields)
 
 
 def merge_segments(

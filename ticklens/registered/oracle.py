@@ -292,7 +292,26 @@ from joined""",
         "gap_parse": _gaps(),
         "gap_parse_end_day": _gaps(end_day=True),
         "gap_union": _gaps(),
-        "incremental_reaction": f"""{_BASE}
+        **{
+            name: f"""{base}
 select curr_pair, "day", trading_hour, trading_min, {_open_close_columns(summary)}
-from joined group by all""",
+from joined group by all"""
+            for name, base in {
+                "incremental_reaction": _BASE,
+                "incremental_two_feeds": _BASE,
+                "incremental_compacted": _BASE,
+                "incremental_late_release": _BASE_TWO,
+            }.items()
+        },
+        "incremental_wide": _wide(summary),
+        "closed_frame_stream": f"""{_BASE},
+last_quote as (select date_trunc('millisecond', max(ts)) last_ts from ticks)
+select curr_pair, "day", trading_hour, trading_min, frame,
+       first(ask order by ts, ask) open_price, first(ts order by ts, ask) open_price_ts,
+       first(ask order by ts desc, ask desc) close_price,
+       first(ts order by ts desc, ask desc) close_price_ts
+from joined, (select unnest({summary})::int frame), last_quote
+where ts > t0 and ts < t0 + frame * interval 1 minute
+  and t0 + frame * interval 1 minute <= last_ts
+group by all""",
     }

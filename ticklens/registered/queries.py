@@ -436,24 +436,92 @@ def gap_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Incremental load
 
 
+def _arriving(spark: SparkSession, sf_dir: str, part: str = "true") -> DataFrame:
+    """A stream over a directory into which quotes have been delivered."""
+    path = new_dir(spark, "inbox")
+    ticks = _ticks(spark, sf_dir).where(part)
+    ticks.write.parquet(path)
+    return spark.readStream.schema(ticks.schema).parquet(path)
+
+
+def _load(spark: SparkSession, arriving: DataFrame, releases: DataFrame, segments: str) -> None:
+    checkpoint = new_dir(spark, "stream_checkpoint")
+    incremental.load_increment(
+        arriving, releases, SUMMARY_FRAMES, open_close(), segments, checkpoint
+    )
+
+
+def _increments(spark: SparkSession, segments: str) -> DataFrame:
+    return incremental.read_increments(spark, segments, SUMMARY_FRAMES, open_close())
+
+
 @_register
 def incremental_reaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = from_events.events(spark, sf_dir).schema
-    table = f"{sf_dir}/events.parquet"
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    stream = spark.readStream.schema(schema)
-    if status.isDirectory():
-        arriving = stream.parquet(table)
-    else:
-        arriving = stream.parquet(sf_dir, pathGlobFilter="events.parquet")
-    segments, points = new_dir(spark, "segments"), open_close()
-    incremental.load_increment(
-        from_events.ticks_of(arriving),
-        _releases(spark, sf_dir),
-        SUMMARY_FRAMES,
-        points,
-        segments,
-        new_dir(spark, "stream_checkpoint"),
+    segments = new_dir(spark, "segments")
+    _load(spark, _arriving(spark, sf_dir), _releases(spark, sf_dir), segments)
+    return _increments(spark, segments)
+
+
+# How the quotes are dealt to feeds.
+_FEEDS = ["minute(ts) % 2 = 0", "minute(ts) % 2 = 1"]
+
+
+@_register
+def incremental_two_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two feeds with checkpoints of their own fill one store."""
+    segments, releases = new_dir(spark, "segments"), _releases(spark, sf_dir)
+    for part in _FEEDS:
+        _load(spark, _arriving(spark, sf_dir, part), releases, segments)
+    return _increments(spark, segments)
+
+
+@_register
+def incremental_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compaction between two loads, and another at the end."""
+    segments, releases = new_dir(spark, "segments"), _releases(spark, sf_dir)
+    for part in _FEEDS:
+        _load(spark, _arriving(spark, sf_dir, part), releases, segments)
+        incremental.compact(spark, segments, SUMMARY_FRAMES, open_close())
+    return _increments(spark, segments)
+
+
+@_register
+def incremental_late_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second release of each day becomes known after the load."""
+    segments, path = new_dir(spark, "segments"), new_dir(spark, "ticks")
+    _load(spark, _arriving(spark, sf_dir), _releases(spark, sf_dir), segments)
+    _ticks(spark, sf_dir).drop("trade_dt").write.partitionBy("curr_pair", "day").parquet(path)
+    rest = spark.read.schema(_ticks(spark, sf_dir).drop("trade_dt").schema).parquet(path)
+    incremental.change_calendar(
+        rest, _two_releases(spark, sf_dir), SUMMARY_FRAMES, open_close(), segments
+    )
+    return _increments(spark, segments)
+
+
+@_register
+def incremental_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table from increments: facts are joined when it is read."""
+    segments, releases = new_dir(spark, "segments"), _releases(spark, sf_dir)
+    _load(spark, _arriving(spark, sf_dir), releases, segments)
+    wide = incremental.read_increments_wide(
+        spark, releases, segments, SUMMARY_FRAMES, open_close()
+    )
+    return ops.with_labels(wide)
+
+
+@_register
+def closed_frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as the stream emits them; those that the last quote does not close are still open."""
+    frames = incremental.closed_frames(
+        _arriving(spark, sf_dir), _releases(spark, sf_dir), SUMMARY_FRAMES, open_close()
+    )
+    out = new_dir(spark, "closed_frames")
+    query = (
+        frames.writeStream.outputMode("append")
+        .option("path", out)
+        .option("checkpointLocation", new_dir(spark, "stream_checkpoint"))
+        .trigger(availableNow=True)
+        .start()
     )
-    return incremental.read_increments(spark, segments, SUMMARY_FRAMES, points)
+    query.awaitTermination()
+    return spark.read.schema(frames.schema).parquet(out)
