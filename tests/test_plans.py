@@ -121,7 +121,3 @@ def test_no_python_on_the_way(spark):
         assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_gap_feed_windows_are_bounded(spark):
-    """The window over single quotes is partitioned by the minute, not only by the pair."""
-    text = plan(queries.all_queries()["gap_parse_end_day"](spark, SF_DIR))
-    assert re.search(r"hashpartitioning\(curr_pair#\d+, minute#\d+", text)

@@ -13,6 +13,8 @@ UNKNOWN_MONTH = "NA"
 THOUSANDS = "K"
 HEADER_TIME = "Time"
 GAP_LINE = r"Gap of ([0-9]+)s found between ([0-9]+) and ([0-9]+)."
+WHOLE_GAP_LINE = f"^{GAP_LINE}$"
+TICK_TIME = r"^[0-9]{8} [0-9]{9}$"
 
 
 def int_part(text: Column, start: int, length: int) -> Column:

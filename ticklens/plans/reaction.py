@@ -20,7 +20,7 @@ from ticklens.operators.reaction import (
     with_labels,
 )
 from ticklens.schemas import GROUP, RELEASE_FACTS, RELEASE_TIME
-from ticklens.sinks.tables import create_database, save_table
+from ticklens.sinks.tables import create_database, quoted, save_table
 
 
 def reaction(
@@ -128,6 +128,10 @@ def price_summary_wide(
     )
 
 
+#: What the packaged job can report of a frame.
+POINTS = {"open_close": open_close, "high_low": high_low, "ohlc": lambda p: open_close(p) + high_low(p)}
+
+
 def run_reaction_job(
     spark: SparkSession,
     db: str,
@@ -137,18 +141,28 @@ def run_reaction_job(
     releases_table: str = "releases",
     mode: str = "errorifexists",
     files: int | None = None,
+    price: str = "ask",
+    points: str = "open_close",
+    bounds: str | None = None,
+    path: str | None = None,
 ) -> str:
-    """Build the wide table from two catalog tables and save it as a third; return its name.
+    """Build a result table from two catalog tables and save it as a third; return its name.
 
-    The quote table may carry `ts` or only the day and the clock fields.
+    `points` names what is reported of `price`, or is `summary`: maximum and close of ask and bid.
+    `bounds` is open, or half-open for the summary, unless given. The quote table may carry `ts` or only the day and
+    the clock fields. With `path` the result is an external table.
     """
-    quotes = spark.table(f"{db}.{ticks_table}")
+    quotes = spark.table(quoted(f"{db}.{ticks_table}"))
     if "ts" not in quotes.columns:
         quotes = with_tick_ts(quotes)
-    calendar = spark.table(f"{db}.{releases_table}")
+    calendar = spark.table(quoted(f"{db}.{releases_table}"))
     if "previous" not in calendar.columns:  # older tables spell it in another way
         calendar = calendar.withColumnRenamed("previoius", "previous")
     releases = calendar.select(*RELEASE_TIME, *RELEASE_FACTS)
+    if points == "summary":
+        result = price_summary_wide(quotes, releases, frames, bounds or "half_open")
+    else:
+        result = reaction_wide(quotes, releases, frames, POINTS[points](price), bounds or "open")
     create_database(spark, db)
-    save_table(reaction_wide(quotes, releases, frames), f"{db}.{table}", mode, files)
+    save_table(result, f"{db}.{table}", mode, files, path)
     return f"{db}.{table}"

@@ -175,6 +175,7 @@ from joined where {_inside(60, bounds)}"""
 
 def _gaps(end_day: bool = False) -> str:
     extra = ", substr(b, 1, 8) end_day" if end_day else ""
+    # Fixed value: the line of the feed, as in functions/text.py.
     pattern = "^Gap of ([0-9]+)s found between ([0-9]+) and ([0-9]+).$"
     return f"""{_with(_TICKS)},
 next_ticks as (
@@ -196,6 +197,30 @@ select curr_pair, gap, substr(a, 1, 8) "day", substr(a, 9, 2) start_hour,
 from matched where gap <> 0"""
 
 
+_GAPS_TWICE = _gaps() + """
+union all
+""" + "select * from (" + _gaps() + ") where curr_pair = 'EURUSD'"
+
+_REJECTS = f"""{_with(_TICKS, _RAW)},
+bad as (
+  select ['EURUSD','GBPUSD','USDJPY'][(user_id % 3)::int + 1] curr_pair, event_id // 97 k
+  from events where event_id % 97 = 0),
+next_ticks as (
+  select curr_pair, ts, lead(ts) over (partition by curr_pair order by ts) nx from ticks),
+no_gaps as (
+  select curr_pair, unnest(range(case curr_pair when 'EURUSD' then 2 else 1 end))
+  from next_ticks where date_trunc('second', ts) = date_trunc('second', nx))
+select feed, curr_pair, reason, count(*) n from (
+  select 'ticks' feed, curr_pair, ['fields', 'time', 'bid', 'ask', 'vol'][k % 5 + 1] reason from bad
+  union all
+  select 'gaps', curr_pair, ['no gap report', 'gap too long', 'no gap'][k % 3 + 1] from bad
+  union all
+  select 'gaps', curr_pair, 'no gap' from no_gaps
+  union all
+  select 'releases', null, 'actual' from releases_raw)
+group by all"""
+
+
 _HISTORY = f"""{_with(_RAW, _releases("releases_raw"))},
 history as (
   select trading_day, concat(trading_hour, ':', trading_min) trading_time, actual, forecast,
@@ -224,6 +249,11 @@ per_release as (
         "write_releases": clean,
         "write_ticks_partitioned": parsed,
         "write_reaction_table": _wide(short),
+        "write_summary_table": _summary(summary),
+        "load_checked_ticks": parsed,
+        "load_checked_releases": clean,
+        "load_checked_gaps": _GAPS_TWICE,
+        "load_rejects": _REJECTS,
         "release_history_view": f"{_HISTORY} select * from history",
         "tick_parse": parsed,
         "tick_timestamp": _with(_TICKS)

@@ -132,23 +132,121 @@ def write_ticks_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_ticks(spark, path).drop("ts")
 
 
+def _feeds_with_bad_lines(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """Directories of quotes, releases and gap reports in which some lines are bad and some occur twice."""
+    source = from_events.events(spark, sf_dir)
+    ticks, releases, reports = (new_dir(spark, n) for n in ("ticks_csv", "releases_csv", "gaps"))
+    _raw_ticks(spark, sf_dir).write.partitionBy("curr_pair").csv(ticks, sep=files.TICK_DELIMITER)
+    bad = from_events.bad_tick_lines_of(source)
+    bad.write.mode("append").partitionBy("curr_pair").text(ticks)
+    raw = from_events.with_header(_raw_releases(spark, sf_dir))
+    raw.write.csv(releases, sep=files.RELEASE_DELIMITER, emptyValue="")
+    far = raw.withColumn("actual", F.lit("99999999999K"))
+    far.write.mode("append").csv(releases, sep=files.RELEASE_DELIMITER, emptyValue="")
+    lines = from_events.gap_lines_of(source)
+    lines = lines.unionByName(lines.where(F.col("curr_pair") == "EURUSD"))
+    lines.unionByName(from_events.bad_gap_lines_of(source)).write.partitionBy("curr_pair").text(reports)
+    return ticks, releases, reports
+
+
 @_register
-def write_reaction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packaged job: two catalog tables in, a third one out."""
+def load_checked_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "ticks")
+    source = _feeds_with_bad_lines(spark, sf_dir)[0]
+    load.load_ticks(spark, source, path, rejects=new_dir(spark, "rejects"))
+    return tables.read_ticks(spark, path).drop("ts")
+
+
+@_register
+def load_checked_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "releases")
+    source = _feeds_with_bad_lines(spark, sf_dir)[1]
+    load.load_releases(spark, source, path, rejects=new_dir(spark, "rejects"))
+    return tables.read_releases(spark, path)
+
+
+@_register
+def load_checked_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with lines that occur twice: they stay two."""
+    path = new_dir(spark, "gap_table")
+    source = _feeds_with_bad_lines(spark, sf_dir)[2]
+    load.load_gap_table(spark, source, path, new_dir(spark, "rejects"))
+    return tables.read_gaps(spark, path)
+
+
+@_register
+def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the loads of all feeds reject, and why."""
+    ticks, releases, reports = _feeds_with_bad_lines(spark, sf_dir)
+    rejects = new_dir(spark, "rejects")
+    load.load_ticks(spark, ticks, new_dir(spark, "ticks"), rejects=rejects)
+    load.load_releases(spark, releases, new_dir(spark, "releases"), rejects=rejects)
+    load.load_gap_table(spark, reports, new_dir(spark, "gap_table"), rejects)
+    found = tables.read_rejects(spark, rejects)
+    return found.groupBy("feed", "curr_pair", "reason").agg(F.count("*").alias("n"))
+
+
+def _database(spark: SparkSession) -> str:
+    """A database of its own in the shared folder; its files outlive its names."""
     location = new_dir(spark, "db")
     db = "fx_" + location.rsplit("-", 1)[1]
     sinks.create_database(spark, db, location)
-    sinks.save_table(_ticks(spark, sf_dir), f"{db}.tick_data")
-    sinks.save_table(clean.clean_releases(_raw_releases(spark, sf_dir)), f"{db}.releases")
-    name = reaction.run_reaction_job(spark, db, "prices_1_to_5", SHORT_FRAMES, files=1)
-    return spark.table(name)
+    return db
+
+
+def _forget(spark: SparkSession, db: str, *names: str) -> None:
+    """Drop the names of external tables and views; a frame that reads their files goes on."""
+    for name in names:
+        kind = "VIEW" if spark.catalog.getTable(f"{db}.{name}").tableType == "VIEW" else "TABLE"
+        spark.sql(f"DROP {kind} {sinks.quoted(f'{db}.{name}')}")
+    spark.sql(f"DROP DATABASE {sinks.quoted(db)}")
+
+
+def _external(spark: SparkSession, df: DataFrame, db: str, name: str) -> None:
+    path = new_dir(spark, name)
+    df.write.parquet(path)
+    sinks.register_table(spark, f"{db}.{name}", path, df.schema)
+
+
+@_register
+def write_reaction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packaged job: two catalog tables in, a third one out."""
+    db = _database(spark)
+    _external(spark, _ticks(spark, sf_dir), db, "tick_data")
+    _external(spark, clean.clean_releases(_raw_releases(spark, sf_dir)), db, "releases")
+    out = new_dir(spark, "prices_1_to_5")
+    name = reaction.run_reaction_job(spark, db, "prices_1_to_5", SHORT_FRAMES, files=1, path=out)
+    result = spark.read.schema(spark.table(name).schema).parquet(out)
+    _forget(spark, db, "tick_data", "releases", "prices_1_to_5")
+    return result
+
+
+@_register
+def write_summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packaged job with other prices, points and bounds."""
+    db = _database(spark)
+    _external(spark, _ticks(spark, sf_dir), db, "tick_data")
+    _external(spark, clean.clean_releases(_raw_releases(spark, sf_dir)), db, "releases")
+    out = new_dir(spark, "summary")
+    name = reaction.run_reaction_job(
+        spark, db, "summary", SUMMARY_FRAMES, files=1, path=out, points="summary", bounds="half_open"
+    )
+    result = spark.read.schema(spark.table(name).schema).parquet(out)
+    _forget(spark, db, "tick_data", "releases", "summary")
+    return result
 
 
 @_register
 def release_history_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = clean.release_history(clean.clean_releases(_raw_releases(spark, sf_dir)))
-    history.createOrReplaceTempView("release_history")
-    return spark.table("release_history")
+    """The view as the catalog stores it, read by another session than the one that made it."""
+    db = _database(spark)
+    _external(spark, clean.clean_releases(_raw_releases(spark, sf_dir)), db, "releases")
+    sinks.create_release_view(spark, f"{db}.release_history", f"{db}.releases")
+    shown = spark.newSession().table(f"{db}.release_history")
+    history = spark.table(f"{db}.release_history")
+    assert shown.schema == history.schema
+    _forget(spark, db, "release_history", "releases")
+    return history
 
 
 # Parsing and cleaning

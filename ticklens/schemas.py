@@ -53,6 +53,28 @@ RELEASES = T.StructType(
     ]
 )
 
+GAPS = T.StructType(
+    [
+        T.StructField("gap", T.IntegerType()),
+        *(
+            T.StructField(name, T.StringType())
+            for name in (
+                *("day", "start_hour", "start_min", "start_sec"),
+                *("end_hour", "end_min", "end_sec", "end_day"),
+            )
+        ),
+        T.StructField("curr_pair", T.StringType()),
+    ]
+)
+
+# Lines that became no row of a table.
+REJECTS = T.StructType(
+    [
+        T.StructField(name, T.StringType())
+        for name in ("curr_pair", "file", "line", "reason", "feed")
+    ]
+)
+
 # What a join or a group needs to know about a release.
 RELEASE_TIME = ["trading_day", "trading_hour", "trading_min"]
 RELEASE_FACTS = ["previous", "forecast", "actual"]

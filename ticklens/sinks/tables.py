@@ -38,9 +38,34 @@ def write_ticks(
     )
 
 
+def write_gaps(gaps: DataFrame, path: str) -> None:
+    """Overwrite the gaps of the pairs that are given."""
+    (
+        gaps.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("curr_pair")
+        .parquet(path)
+    )
+
+
+def write_rejects(rejects: DataFrame, path: str) -> None:
+    """Add rejected lines to their table."""
+    rejects.write.mode("append").partitionBy("feed").parquet(path)
+
+
+def quoted(name: str) -> str:
+    """A name for SQL text, whatever characters it has; dots separate its parts."""
+    return ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))
+
+
+def text_literal(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
-    where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{where}")
+    where = f" LOCATION {text_literal(location)}" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name)}{where}")
 
 
 def register_table(
@@ -51,20 +76,49 @@ def register_table(
     partition_by: tuple[str, ...] = (),
 ) -> None:
     """Give a written directory, with all its partitions, a catalog name."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    partitions = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet{partitions} LOCATION '{path}'")
+    columns = ", ".join(f"{_column(f.name)} {f.dataType.simpleString()}" for f in schema)
+    names = ", ".join(map(_column, partition_by))
+    partitions = f" PARTITIONED BY ({names})" if partition_by else ""
+    where = f"LOCATION {text_literal(path)}"
+    spark.sql(f"CREATE TABLE {quoted(name)} ({columns}) USING parquet{partitions} {where}")
     if partition_by:
-        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        spark.sql(f"ALTER TABLE {quoted(name)} RECOVER PARTITIONS")
+
+
+def _column(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def create_release_view(spark: SparkSession, name: str, table: str) -> None:
+    """Store the release history as a view in the catalog: day, time label and figures of a release table.
+
+    It is a definition, so it shows whatever the table holds when it is read, in any session of the catalog.
+    """
+    columns = {
+        "trading_day": "trading_day",
+        "trading_time": "concat(trading_hour, ':', trading_min)",
+        **{figure: figure for figure in ("actual", "forecast", "previous")},
+    }
+    fields = {f.name: f.dataType for f in RELEASES}
+    listed = ", ".join(
+        f"CAST({sql} AS {fields.get(column, T.StringType()).simpleString()}) AS {_column(column)}"
+        for column, sql in columns.items()
+    )
+    spark.sql(f"CREATE OR REPLACE VIEW {quoted(name)} AS SELECT {listed} FROM {quoted(table)}")
 
 
 def save_table(
-    df: DataFrame, name: str, mode: str = "errorifexists", files: int | None = None
+    df: DataFrame,
+    name: str,
+    mode: str = "errorifexists",
+    files: int | None = None,
+    path: str | None = None,
 ) -> None:
-    """Save under a catalog name.
+    """Save under a catalog name, with `path` as an external table.
 
     `files` limits the number of output files, and with it the tasks that write
     them; by default the result keeps its own.
     """
     result = df if files is None else df.coalesce(files)
-    result.write.mode(mode).format("parquet").saveAsTable(name)
+    writer = result.write.mode(mode).format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(quoted(name))

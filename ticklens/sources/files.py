@@ -60,3 +60,16 @@ def read_gap_lines_of(spark: SparkSession, path: str, pair: str) -> DataFrame:
     return spark.read.text(path).select(
         F.col("value").alias("line"), F.lit(pair).alias("curr_pair")
     )
+
+
+def read_lines(spark: SparkSession, path: str, pair: str | None = None) -> DataFrame:
+    """(curr_pair, file, line): lines with the file they are in, for feeds that are checked line by line.
+
+    The pair is given, or read off `curr_pair=<pair>` directories, or NULL.
+    """
+    schema = T.StructType([T.StructField("line", T.StringType()), _PAIR])
+    lines = spark.read.text(path) if pair else spark.read.schema(schema).text(path)
+    lines = lines.withColumn("file", F.col("_metadata.file_path"))
+    if pair:
+        return lines.select(F.lit(pair).alias("curr_pair"), "file", F.col("value").alias("line"))
+    return lines.select("curr_pair", "file", "line")

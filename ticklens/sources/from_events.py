@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ticklens.operators.neighbours import with_next
 from ticklens.schemas import RAW_RELEASES
 
 # Fixed values of the test feed.
@@ -78,6 +79,34 @@ def raw_ticks_of(source: DataFrame) -> DataFrame:
     )
 
 
+def bad_tick_lines_of(source: DataFrame) -> DataFrame:
+    """A line that is no quote for every 97th event: too short, no time, no price, a price or volume too large."""
+    kind = F.expr("event_id DIV 97 % 5")
+    shown = source.where("event_id % 97 = 0").select(
+        pair_of(F.col("user_id")).alias("curr_pair"), kind.alias("kind"), tick_text(F.col("ts")).alias("t")
+    )
+    ends = [",1.5", ",1,1,0", ",x,1,0", ",1,12345678.5,0", ",1,1,999"]
+    line = F.concat(
+        F.when(F.col("kind") == 1, F.lit("20241301 083000000")).otherwise(F.col("t")),
+        F.element_at(F.array(*map(F.lit, ends)), (F.col("kind") + 1).cast("int")),
+    )
+    return shown.select("curr_pair", line.alias("line"))
+
+
+def bad_gap_lines_of(source: DataFrame) -> DataFrame:
+    """A line that reports no gap for every 97th event: another text, a gap too long, a gap of zero."""
+    lines = [
+        "some header",
+        "Gap of 99999999999s found between 20240101000000 and 20240102000000.",
+        "Gap of 0s found between 20240101000000 and 20240101000000.",
+    ]
+    at = F.expr("CAST(event_id DIV 97 % 3 AS INT) + 1")
+    return source.where("event_id % 97 = 0").select(
+        pair_of(F.col("user_id")).alias("curr_pair"),
+        F.element_at(F.array(*map(F.lit, lines)), at).alias("line"),
+    )
+
+
 def raw_releases_of(source: DataFrame) -> DataFrame:
     """One release per day, its figures made from the counts of the day.
 
@@ -120,43 +149,23 @@ def with_header(raw: DataFrame) -> DataFrame:
 
 
 def gap_lines_of(source: DataFrame) -> DataFrame:
-    """A report line for every two neighbouring quotes of a pair.
-
-    A pair may hold a third of all quotes, so the neighbour is looked up within
-    the minute, and only the last quote of a minute takes the first one of the
-    pair's next minute that has any. No two events share a time stamp, so a minute
-    holds a bounded number of them.
-    """
-    ticks = ticks_of(source).select("curr_pair", "ts").withColumn(
-        "minute", F.substring(F.col("ts").cast("string"), 1, 16)
-    )
-    in_minute = Window.partitionBy("curr_pair", "minute").orderBy("ts")
-    by_minute = Window.partitionBy("curr_pair").orderBy("minute")
-    next_minute = (
-        ticks.groupBy("curr_pair", "minute")
-        .agg(F.min("ts").alias("first"))
-        .select("curr_pair", "minute", F.lead("first").over(by_minute).alias("next_first"))
-    )
-    nx = F.coalesce("nx", "next_first")
+    """A report line for every two neighbouring quotes of a pair, which may hold a third of all quotes."""
+    ticks = with_next(ticks_of(source).select("curr_pair", "ts"), "curr_pair", "ts", "nx")
+    nx = F.col("nx")
     seconds = F.date_diff(nx.cast("date"), F.col("ts").cast("date")) * 86400 + (
         _second_of_day(nx) - _second_of_day(F.col("ts"))
     )
-    return (
-        ticks.withColumn("nx", F.lead("ts").over(in_minute))
-        .join(next_minute, ["curr_pair", "minute"])
-        .where(nx.isNotNull())
-        .select(
-            "curr_pair",
-            F.concat(
-                F.lit("Gap of "),
-                seconds,
-                F.lit("s found between "),
-                second_text(F.col("ts")),
-                F.lit(" and "),
-                second_text(nx),
-                F.lit("."),
-            ).alias("line"),
-        )
+    return ticks.where(nx.isNotNull()).select(
+        "curr_pair",
+        F.concat(
+            F.lit("Gap of "),
+            seconds,
+            F.lit("s found between "),
+            second_text(F.col("ts")),
+            F.lit(" and "),
+            second_text(nx),
+            F.lit("."),
+        ).alias("line"),
     )
 
 

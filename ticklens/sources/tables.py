@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from ticklens.schemas import RELEASES, TICKS
+from ticklens.schemas import GAPS, REJECTS, RELEASES, TICKS
 
 
 def read_ticks(spark: SparkSession, path: str) -> DataFrame:
@@ -21,6 +22,16 @@ def read_releases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RELEASES).parquet(path)
 
 
+def read_gaps(spark: SparkSession, path: str, end_day: bool = False) -> DataFrame:
+    schema = T.StructType([f for f in GAPS if end_day or f.name != "end_day"])
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that loads have rejected, with their feed, file and reason."""
+    return spark.read.schema(REJECTS).parquet(path)
+
+
 def read_table(spark: SparkSession, name: str, columns: list[str]) -> DataFrame:
     """Only the named columns of a catalog table."""
     return spark.table(name).select(*columns)
