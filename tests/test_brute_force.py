@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticklens.functions.frames import in_frame
 from ticklens.functions.points import high_low, max_and_close, open_close
-from ticklens.operators import join
+from ticklens.operators import chunks, join
 from ticklens.operators import reaction as ops
 from ticklens.operators.calendar import MAX_BROADCAST_BYTES, frame_calendar
 from ticklens.plans import reaction
@@ -207,6 +207,23 @@ def test_invariants(spark):
                 assert row[f"high_price_{longer}"] >= row[f"high_price_{shorter}"]
 
 
+@pytest.mark.parametrize("bounds", ["open", "half_open"])
+@pytest.mark.parametrize("chunk_rows,rows_per_split", [(1, 1), (7, 50), (4096, 1 << 22)])
+def test_chunks_hold_the_quotes_of_frames(spark, bounds, chunk_rows, rows_per_split):
+    """Frames read off chunks equal those from the quotes, and no chunk outgrows its bound."""
+    ticks, releases = frames(spark, 8)
+    calendar = frame_calendar(releases, FRAMES)
+    made = chunks.tick_chunks(ticks.repartition(7), calendar, ("ask", "bid"), chunk_rows, rows_per_split)
+    sizes = [r.n for r in made.collect()]
+    assert max(sizes) <= chunk_rows and sum(sizes) > 500
+    for wanted in (FRAMES, [3]):
+        got = chunks.points_from_chunks(made, calendar, wanted, POINTS, bounds)
+        want = ops.frame_points(ticks, releases, wanted, POINTS, bounds)
+        assert got.columns == want.columns and rows_of(got) == rows_of(want)
+    with pytest.raises(ValueError):
+        chunks.points_from_chunks(made, calendar, [2], POINTS)
+
+
 def test_frames_are_checked(spark):
     ticks, releases = frames(spark, 1)
     for bad in ([], [0], [-1, 5]):

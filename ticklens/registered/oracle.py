@@ -327,6 +327,7 @@ from joined""",
 select curr_pair, "day", trading_hour, trading_min, {_open_close_columns(summary)}
 from joined group by all"""
             for name, base in {
+                "reaction_from_chunks": _BASE,
                 "incremental_reaction": _BASE,
                 "incremental_two_feeds": _BASE,
                 "incremental_compacted": _BASE,

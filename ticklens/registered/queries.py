@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ticklens.functions import text
 from ticklens.functions.frames import with_frame_ends
 from ticklens.functions.points import high_low, open_close, point
-from ticklens.operators import clean, gaps, join
+from ticklens.operators import chunks, clean, gaps, join
 from ticklens.operators import reaction as ops
 from ticklens.operators.calendar import frame_calendar
 from ticklens.plans import load, reaction
@@ -450,6 +450,17 @@ def reaction_edges_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reaction_edges(spark, sf_dir, "half_open")
 
 
+@_register
+def reaction_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames read off stored chunks of sorted quotes, which are small here."""
+    ticks, path = _ticks(spark, sf_dir), new_dir(spark, "chunks")
+    calendar = frame_calendar(_releases(spark, sf_dir), SUMMARY_FRAMES)
+    made = chunks.tick_chunks(ticks, calendar, chunk_rows=4, rows_per_split=8)
+    made.write.parquet(path)
+    stored = spark.read.schema(made.schema).parquet(path)
+    return chunks.points_from_chunks(stored, calendar, SUMMARY_FRAMES, open_close())
+
+
 @_register
 def reaction_two_releases_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks, releases = _ticks(spark, sf_dir), _two_releases(spark, sf_dir)

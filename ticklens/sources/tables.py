@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ticklens.schemas import GAPS, REJECTS, RELEASES, TICKS
+from ticklens.sinks.tables import quoted
 
 
 def read_ticks(spark: SparkSession, path: str) -> DataFrame:
@@ -35,3 +36,9 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
 def read_table(spark: SparkSession, name: str, columns: list[str]) -> DataFrame:
     """Only the named columns of a catalog table."""
     return spark.table(name).select(*columns)
+
+
+def read_current(spark: SparkSession, name: str) -> DataFrame:
+    """A catalog table or view as it is now, whichever session has changed its files."""
+    spark.catalog.refreshTable(quoted(name))
+    return spark.table(quoted(name))
