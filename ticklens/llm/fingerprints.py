@@ -1,59 +1,118 @@
 """Operator 2: document fingerprints from closed syncmers.
 
-A text is a row of symbols: its words, or its characters if it has fewer than MIN_WORDS words. Of each run
-of K symbols, the hashes of its inner runs of S are compared; the run is an anchor (a closed syncmer)
-if the smallest is the first or the last. That depends on the run alone, so a shared passage
-has the same anchors in both texts, whatever surrounds it. The fingerprint is the sketch of the
-SKETCH smallest anchor hashes; the likeness of two is the share of the smallest hashes of both that they
-have in common, which estimates the Jaccard similarity of the anchor sets (exact for small sets).
-Characters as symbols for all texts cost about six times as much; words keep the
-operator inside native functions and its limits.
+The symbols of a text are its code points, whatever its length. Of each run of K of them, the hashes of its inner runs of
+S are compared; the run is an anchor (a closed syncmer) if the smallest is the first or the last. That depends
+on the run alone, so a shared passage has the same anchors in both texts, whatever surrounds it.
+The fingerprint is the sketch of the SKETCH smallest anchor hashes; the likeness of two is the share of the
+smallest hashes of both that they have in common. It estimates the Jaccard similarity J of the two sets of anchors with a
+standard error of sqrt(J (1 - J) / SKETCH), 0.0625 at most, and is exact for texts with few anchors.
+
+Long texts are worked on in blocks that overlap by K - 1 symbols: no anchor is lost or made up, and memory does not grow
+with the text. For the same reason the anchors of an edited text need not be looked for anew: they are the anchors that lie in
+the part that was kept, those that lie in the part that was put in, and those of the few runs across the seam.
 
 Defined results: a NULL text is empty; an empty text has the empty fingerprint and is like
-another empty one (1.0) and like nothing else; a text too short for an anchor has its
-whole text as the only one; equal texts have equal fingerprints. Only built-in functions are used.
+another empty one (1.0) and like nothing else; a text without an anchor, as one of fewer than K symbols, has its
+whole text as the only one; equal texts have equal fingerprints. Rows that repeat an id, or have none, are all kept, and follow each
+other in the order they are stored in; missing ids come after all others. Only built-in functions are used.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ticklens.llm.common import empty_text, stored
+from ticklens.llm.common import bound, empty_text, partitions, stored
 
-K = 5
-S = 2
-MIN_WORDS = 12
+K = 12
+S = 4
 SKETCH = 64
-#: NULL ids sort last, as this number.
-NO_ID = -(2**63)
-_ROWS_PER_RANGE = 50_000
-_MAX_RANGES = 500
-
-
-def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add `name`: the places (from 0, in symbols) and hashes of all anchors of a text."""
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    df = df.withColumn("_words", words)
-    chars = F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
-    symbols = F.when(F.size("_words") >= MIN_WORDS, F.col("_words")).otherwise(chars)
-    df = df.withColumn("_h", F.transform(symbols, lambda s: F.xxhash64(s))).drop("_words")
-    inner = "transform(sequence(0, size(_h) - 2), i -> xxhash64(_h[i], _h[i + 1]))"
-    df = df.withColumn("_s", F.expr(f"if(size(_h) >= {K}, {inner}, array())"))
-    found = """filter(sequence(0, size(_h) - 5),
-        i -> least(_s[i], _s[i + 3]) <= least(_s[i + 1], _s[i + 2]))"""
-    df = df.withColumn("_at", F.expr(f"if(size(_h) >= {K}, {found}, array())"))
-    whole = f"array(struct(0 as place, xxhash64({text}) & 4294967295L as hash))"
-    anchors = f"""case when size(_at) > 0 then
-        transform(_at, i -> struct(i as place, xxhash64(_s[i], _s[i + 2], _h[i + 4]) & 4294967295L as hash))
-        when {text} <> '' then {whole} else slice({whole}, 1, 0) end"""
-    return df.withColumn(name, F.expr(anchors)).drop("_h", "_s", "_at")
-
-
-def sketch(anchors: Column) -> Column:
+#: Symbols of a block.
+BLOCK = 1 << 16
+_WIDTH = K - S + 1
+
+
+def _anchors(block: Column, start: Column) -> Column:
+    """(place, hash) of the anchors of a block that starts at symbol `start` of its text."""
+    none = F.array().cast("array<struct<place:int,hash:bigint>>")
+
+    def of_symbols(c: Column) -> Column:
+        inner = F.transform(
+            F.sequence(F.lit(0), F.size(c) - S), lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(S)))
+        )
+        return bound(inner, of_inner)
+
+    def of_inner(s: Column) -> Column:
+        ends = lambda i: F.least(F.get(s, i), F.get(s, i + _WIDTH - 1))
+        between = lambda i: F.least(*(F.get(s, i + j) for j in range(1, _WIDTH - 1)))
+        places = F.filter(F.sequence(F.lit(0), F.size(s) - _WIDTH), lambda i: ends(i) <= between(i))
+        parts = range(0, K, S)
+        return F.transform(
+            places,
+            lambda i: F.struct(
+                (start + i).cast("int").alias("place"),
+                F.xxhash64(*(F.get(s, i + j) for j in parts)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"),
+            ),
+        )
+
+    symbols = F.regexp_extract_all(block, F.lit("(?s)."), F.lit(0))
+    return bound(symbols, lambda c: F.when(F.size(c) >= K, of_symbols(c)).otherwise(none))
+
+
+def _by_block(text: Column, use) -> Column:
+    """`use` of the anchors of every block of a text, as an array."""
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - 1, F.lit(0)), F.lit(BLOCK))
+    return F.transform(
+        starts, lambda at: bound(_anchors(F.substr(text, at + 1, F.lit(BLOCK + K - 1)), at), use)
+    )
+
+
+def anchors(text: Column) -> Column:
+    """(place, hash) of all anchors of a text, in order; none for a text of fewer than K symbols."""
+    return F.flatten(_by_block(text, lambda a: a))
+
+
+def _lowest(hashes: Column) -> Column:
     """The smallest distinct hashes, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(anchors["hash"])), 1, SKETCH)
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+
+
+def _or_whole(sketch: Column, text: Column) -> Column:
+    """The sketch, or that of the whole text if there is no anchor in it."""
+    whole = F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
+    empty = F.array().cast("array<bigint>")
+    return F.when(F.size(sketch) > 0, sketch).when(text != "", whole).otherwise(empty)
+
+
+def sketch(text: Column) -> Column:
+    """The fingerprint of a text as an array of hashes."""
+    return bound(
+        _lowest(F.flatten(_by_block(text, lambda a: _lowest(a["hash"])))), lambda s: _or_whole(s, text)
+    )
+
+
+def part_sketches(text: Column, cuts: list[Column]) -> Column:
+    """Sketches of the anchors that end before the first cut, between it and the second, and so on.
+
+    Cuts are numbers of symbols, ascending. Together the parts hold all anchors of the text, each once.
+    """
+    bounds = [F.lit(-1), *(cut - K for cut in cuts), F.lit(2**31 - 1)]
+
+    def parts(found: Column) -> Column:
+        return F.array(
+            *(
+                _lowest(F.filter(found, lambda a: (a["place"] > low) & (a["place"] <= high))["hash"])
+                for low, high in zip(bounds, bounds[1:])
+            )
+        )
+
+    def merged(blocks: Column) -> Column:
+        return F.array(
+            *(_lowest(F.flatten(F.transform(blocks, lambda b: b[i]))) for i in range(len(cuts) + 1))
+        )
+
+    return bound(_by_block(text, parts), merged)
 
 
 def as_text(hashes: Column) -> Column:
@@ -70,8 +129,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of each row of `docs`."""
-    rows = docs.select("doc_id", empty_text().alias("text"))
-    return with_anchors(rows, "text", "a").select("doc_id", as_text(sketch(F.col("a"))).alias("fingerprint"))
+    return docs.select("doc_id", as_text(sketch(empty_text())).alias("fingerprint"))
 
 
 def positional_matches(pairs: DataFrame) -> DataFrame:
@@ -82,77 +140,110 @@ def positional_matches(pairs: DataFrame) -> DataFrame:
     first place.
     """
     rows = pairs.select(
-        "left_id", "right_id", empty_text("left_text").alias("x"), empty_text("right_text").alias("y")
+        "left_id",
+        "right_id",
+        anchors(empty_text("left_text")).alias("a"),
+        anchors(empty_text("right_text")).alias("b"),
     )
-    rows = with_anchors(with_anchors(rows, "x", "a"), "y", "b").drop("x", "y")
-    meet = F.array_intersect(F.col("a.hash"), F.col("b.hash"))
-
-    def place(side: str, h: Column) -> Column:
-        return F.element_at(f"{side}.place", F.array_position(F.col(f"{side}.hash"), h).cast("int"))
-
-    shifts = F.transform(meet, lambda h: place("b", h) - place("a", h))
-    shifted = rows.select("left_id", "right_id", F.explode(shifts).alias("shift"))
-    return shifted.groupBy("left_id", "right_id", "shift").agg(F.count("*").alias("n_anchors"))
-
-
-def neighbours(ids: DataFrame) -> DataFrame:
-    """(key, before_key, before_n) of rows (key, n) with distinct keys: what stands before each key in
-    descending order; the smallest stands before the largest.
-
-    Keys fall into ranges of a bounded number, each ordered by itself; one row per range passes
-    through the driver.
+    sides = [
+        rows.select("left_id", "right_id", F.explode(side).alias("x"))
+        .groupBy("left_id", "right_id", F.col("x.hash").alias("hash"))
+        .agg(F.min("x.place").alias(side))
+        for side in ("a", "b")
+    ]
+    met = sides[0].join(sides[1], ["left_id", "right_id", "hash"])
+    shift = (F.col("b") - F.col("a")).alias("shift")
+    return met.groupBy("left_id", "right_id", shift).agg(F.count("*").alias("n_anchors"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """(file, row, doc_id, text): every row with the place it is stored at, which no other has."""
+    columns = [
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        empty_text().alias("text"),
+    ]
+    try:
+        return docs.select(columns)
+    except AnalysisException:  # not read from files
+        return stored(docs.select("doc_id", "text"), "fingerprint_texts").select(columns)
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(file, row, key, before_key, before_n) of rows (file, row, doc_id, n).
+
+    Keys ascend with the ids; before a row stands the one with the next larger key, before the largest the smallest.
+    Rows are dealt into ranges by id and place, so no range is filled by an id that many rows share. One
+    row per range passes through the driver, and neighbours meet in a join.
     """
-    spark = ids.sparkSession
-    ranges = min(_MAX_RANGES, ids.count() // _ROWS_PER_RANGE + 1)
-    shares = [i / ranges for i in range(1, ranges)] or [0.5]
-    cuts = ids.agg(F.percentile_approx("key", shares).alias("cuts")).first()["cuts"] or []
-    bounds = F.array(*(F.lit(c).cast("bigint") for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    placed = ids.withColumn("range", F.size(F.filter(bounds, lambda c: c <= F.col("key"))))
-    ends = placed.groupBy("range").agg(F.min(F.struct("key", "n")).alias("last")).collect()
-    ends = sorted((r["range"], r["last"]["key"], r["last"]["n"]) for r in ends)
-    rows = [(r, *ends[(i + 1) % len(ends)][1:]) for i, (r, _, _) in enumerate(ends)]
-    edge = spark.createDataFrame(rows, "range int, edge_key bigint, edge_n int")
-    order = Window.partitionBy("range").orderBy(F.desc("key"))
-    before = F.lag(F.struct("key", "n")).over(order)
-    return placed.withColumn("b", before).join(F.broadcast(edge), "range").select(
-        "key",
-        F.coalesce("b.key", "edge_key").alias("before_key"),
-        F.coalesce("b.n", "edge_n").alias("before_n"),
+    order = [F.asc_nulls_first("doc_id"), F.asc("file"), F.asc("row")]
+    ranged = rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
+    keyed = stored(ranged.withColumn("key", F.monotonically_increasing_id()), "fingerprint_keys")
+    part = F.shiftright("key", 33).alias("part")
+    edges = keyed.groupBy(part).agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()
+    edges = sorted((r["first"], r["last"]) for r in edges)
+    after = [(edges[i][1], edges[(i + 1) % len(edges)][0]) for i in range(len(edges))]
+    crossing = rows.sparkSession.createDataFrame(after, "key bigint, over bigint")
+    linked = keyed.join(F.broadcast(crossing), "key", "left").select(
+        "file", "row", "key", F.coalesce("over", F.col("key") + 1).alias("before_key")
     )
+    sizes = keyed.select(F.col("key").alias("before_key"), F.col("n").alias("before_n"))
+    return linked.join(sizes, "before_key")
 
 
 def edited_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document and of its edited text, and their likeness.
+    """Fingerprints of each row and of its edited text, and their likeness.
 
     The edited text has its last half replaced by the start of the next document in descending
-    order of the id (after the last: the first). One row per document id: of rows that repeat an id the
-    shortest text counts (of equally long the smallest); NULL ids are one document, the last.
+    order of the id (after the last: the first). Every text is cut into anchors once.
     """
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key")
-    text = empty_text()
-    rows = docs.select(key, F.char_length(text).alias("n"), text.alias("text"))
-    ids = stored(rows.groupBy("key").agg(F.min("n").alias("n")), "fingerprint_ids")
-    near = stored(neighbours(ids), "fingerprint_neighbours")
-    whole = rows.groupBy("key").agg(F.min(F.struct("n", "text")).alias("d")).select("key", "d.n", "d.text")
-    half = F.floor(F.col("before_n") / 2).cast("int")
-    tails = whole.join(near, "key").select(
-        F.col("before_key").alias("key"),
-        F.col("key").alias("next_key"),
-        F.col("text").substr(F.lit(1), half).alias("tail"),
+    placed = _placed(docs)
+    sizes = placed.select("file", "row", "doc_id", F.char_length("text").alias("n"))
+    near = stored(neighbours(sizes), "fingerprint_neighbours")
+    text, n = F.col("text"), F.col("n")
+    kept_n, tail_n = n - F.floor(n / 2).cast("int"), F.least(F.floor(F.col("before_n") / 2).cast("int"), n)
+    rows = placed.join(near, ["file", "row"]).withColumn("n", F.char_length("text"))
+    rows = rows.withColumns({"kept_n": kept_n, "tail_n": tail_n})
+    cuts = [F.least("kept_n", "tail_n"), F.greatest("kept_n", "tail_n")]
+    rows = rows.withColumn("parts", part_sketches(text, cuts))
+    low, middle = F.col("parts")[0], F.col("parts")[1]
+    whole = _lowest(F.flatten("parts"))
+    both = _lowest(F.concat(low, middle))
+    rows = rows.select(
+        "key",
+        "before_key",
+        "doc_id",
+        "n",
+        _or_whole(whole, text).alias("fp"),
+        F.when(F.col("kept_n") > F.col("tail_n"), both).otherwise(low).alias("in_kept"),
+        F.when(F.col("tail_n") > F.col("kept_n"), both).otherwise(low).alias("in_tail"),
+        F.substr(text, F.lit(1), F.col("kept_n")).alias("kept"),
+        F.substr(text, F.lit(1), F.col("tail_n")).alias("tail"),
+    )
+    # Each row goes to its own key and to that of the row before it; two records meet at every key.
+    own = F.struct(F.col("key").alias("at"), F.struct("doc_id", "n", "fp", "in_kept", "kept").alias("own"), F.lit(None).alias("other"))
+    other = F.struct(F.col("before_key").alias("at"), F.lit(None).alias("own"), F.struct("fp", "in_tail", "tail").alias("other"))
+    kinds = rows.select(own.alias("r")).schema["r"].dataType
+    to = rows.select(other.alias("r")).schema["r"].dataType
+    shape = f"struct<at:bigint,own:{kinds['own'].dataType.simpleString()},other:{to['other'].dataType.simpleString()}>"
+    sent = rows.select(F.explode(F.array(own.cast(shape), other.cast(shape))).alias("r")).select("r.*")
+    met = sent.groupBy("at").agg(F.max("own").alias("a"), F.max("other").alias("b"))
+    met = met.withColumn("edited", F.concat("a.kept", "b.tail"))
+    seam = F.concat(F.right("a.kept", F.lit(K - 1)), F.left("b.tail", F.lit(K - 1)))
+    across = anchors(seam)["hash"]
+    found = met.select(
+        "a",
+        F.col("b.fp").alias("next"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        _or_whole(_lowest(F.concat("a.in_kept", "b.in_tail", across)), F.col("edited")).alias("edited_fp"),
     )
-    kept = F.col("text").substr(F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
-    both = whole.join(tails, "key").withColumn("edited", F.concat(kept, "tail")).drop("tail")
-    both = with_anchors(both, "text", "a").withColumn("fp", sketch(F.col("a"))).drop("a", "text")
-    both = both.withColumn("sha", F.sha2(F.encode("edited", "UTF-8"), 256))
-    both = with_anchors(both, "edited", "a").withColumn("efp", sketch(F.col("a"))).drop("a", "edited")
-    both = stored(both, "fingerprints")
-    following = both.select(F.col("key").alias("next_key"), F.col("fp").alias("nfp"))
-    return both.join(following, "next_key").select(
-        F.nullif("key", F.lit(NO_ID)).alias("doc_id"),
-        F.col("n").cast("bigint").alias("n_chars"),
-        F.col("sha").alias("edited_sha256"),
-        as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
+    return found.select(
+        F.col("a.doc_id").alias("doc_id"),
+        F.col("a.n").cast("bigint").alias("n_chars"),
+        "edited_sha256",
+        as_text(F.col("a.fp")).alias("fingerprint"),
+        as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("a.fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("a.fp"), F.col("next")).alias("near_next"),
     )
