@@ -33,9 +33,14 @@ BLOCK = 1 << 16
 _WIDTH = K - S + 1
 
 
+def _short(*values: Column) -> Column:
+    """A hash of 32 bits: half as much to shuffle as one of 64."""
+    return F.shiftright(F.xxhash64(*values), 32).cast("int")
+
+
 def _anchors(block: Column, start: Column) -> Column:
     """(place, hash) of the anchors of a block that starts at symbol `start` of its text."""
-    none = F.array().cast("array<struct<place:int,hash:bigint>>")
+    none = F.array().cast("array<struct<place:int,hash:int>>")
 
     def of_symbols(c: Column) -> Column:
         inner = F.transform(
@@ -52,7 +57,7 @@ def _anchors(block: Column, start: Column) -> Column:
             places,
             lambda i: F.struct(
                 (start + i).cast("int").alias("place"),
-                F.xxhash64(*(F.get(s, i + j) for j in parts)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"),
+                _short(*(F.get(s, i + j) for j in parts)).alias("hash"),
             ),
         )
 
@@ -80,8 +85,8 @@ def _lowest(hashes: Column) -> Column:
 
 def _or_whole(sketch: Column, text: Column) -> Column:
     """The sketch, or that of the whole text if there is no anchor in it."""
-    whole = F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
-    empty = F.array().cast("array<bigint>")
+    whole = F.array(_short(text))
+    empty = F.array().cast("array<int>")
     return F.when(F.size(sketch) > 0, sketch).when(text != "", whole).otherwise(empty)
 
 
@@ -117,7 +122,8 @@ def part_sketches(text: Column, cuts: list[Column]) -> Column:
 
 def as_text(hashes: Column) -> Column:
     """Eight hexadecimal digits for each hash of a sketch."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    unsigned = lambda h: h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(unsigned(h))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
