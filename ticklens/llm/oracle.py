@@ -126,27 +126,48 @@ def _sql_list(values: list[str]) -> str:
 
 
 _OP3 = f"""
-with templates(license_id, t) as (values {
+with templates(license_id, size, t) as (values {
     ", ".join(
-        f"('{name}', {_sql_list(licenses.template_bigrams(text))})"
+        f"('{name}', {len(licenses.template_words(text))}, {_sql_list(licenses.template_bigrams(text))})"
         for name, text in licenses.TEMPLATES.items()
     )
 }),
-lines as (select doc_id, string_split(coalesce(text, ''), chr(10)) l, coalesce(text, '') text from documents),
+texts as (
+  select row_number() over () r, doc_id, list_transform(
+    string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)),
+    lambda l: list_filter(string_split(l, ' '), lambda x: x <> '')) l
+  from documents),
+flat as (
+  select r, flatten(l) w, flatten(list_transform(l, lambda x, i: list_transform(x, lambda y: i))) line_of from texts),
 units as (
-  select doc_id, unnest(l) unit, unnest(range(1, len(l) + 1)) line_no from lines
-  union all select doc_id, text, 0 from lines where len(l) > 1),
-words as (
-  select doc_id, line_no,
-    list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') w
-  from units),
+  select r, 'line' unit, i line_no, i last_line, l[i] w from (select r, l, unnest(range(1, len(l) + 1)) i from texts)
+  union all select r, 'text', 0, 0, w from flat join texts using (r) where len(l) > 1),
 pairs as (
-  select doc_id, line_no,
+  select r, unit, line_no, last_line,
     list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) b
-  from words where len(w) >= 2)
-select doc_id, line_no::integer line_no, license_id, len(b)::integer n_bigrams,
-  len(list_intersect(b, t))::integer n_shared, 2.0::double * len(list_intersect(b, t)) / (len(b) + len(t)) dice
-from pairs, templates where 2.0::double * len(list_intersect(b, t)) / (len(b) + len(t)) >= 0.75
+  from units where len(w) >= 2),
+whole as (
+  select r, unit, line_no, last_line, license_id, len(b) n, len(list_intersect(b, t)) c, len(t) m from pairs, templates),
+placed as (
+  select r, line_of, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) p from flat where len(w) >= 2),
+windows as (
+  select r, license_id, line_of, s, width, t, list_distinct(p[s + 1:s + width]) b
+  from (
+    select *, unnest(range(0, len(p) - width + 1)) s
+    from (select *, least(size - 1, len(p)) width from placed, templates where list_has_any(p, t)))),
+matching as (
+  select r, license_id, line_of[s + 1] line_no, line_of[s + width + 1] last_line, s, len(b) n,
+    len(list_intersect(b, t)) c, len(t) m
+  from windows where 2.0::double * len(list_intersect(b, t)) / (len(b) + len(t)) >= 0.75),
+rows_of as (select *, s - row_number() over (partition by r, license_id order by s) run from matching),
+best as (
+  select *, row_number() over (partition by r, license_id, run order by c::double / (n + m) desc, s) place from rows_of)
+select doc_id, unit, line_no::integer line_no, last_line::integer last_line, license_id, n::integer n_bigrams,
+  c::integer n_shared, 2.0::double * c / (n + m) dice
+from (
+  select r, unit, line_no, last_line, license_id, n, c, m from whole where 2.0::double * c / (n + m) >= 0.75
+  union all select r, 'window', line_no, last_line, license_id, n, c, m from best where place = 1)
+join texts using (r)
 """
 
 
