@@ -9,10 +9,8 @@
 3. Round one pairs each member of a band's group with its most central member only. Round two takes
    the groups that still hold several components, and compares the members outside of the component of
    that member with all members of other components: small groups make pairs, large ones are
-   compared in blocks of bounded size that give links only. Pairs inside a component are never
-   made, so large families of near copies stay linear. In groups that would compare more than HOT_COST pairs, a
-   pair must also share a second band, which splits them (a pair of similarity 0.75 has 39 more
-   to share; it shares none in 4 of 10 million cases).
+   compared in blocks of bounded size that give links only, whatever their number. Pairs inside a component are never
+   made, so large families of near copies stay linear.
 4. Pairs whose sketches estimate less than 0.75 by a wide margin (corrected for chance collisions of
    registers) are dropped; the rest are confirmed on the full shingle sets.
 
@@ -46,8 +44,8 @@ LEAST_ESTIMATE = THRESHOLD[0] / THRESHOLD[1] - ESTIMATE_MARGIN
 #: Groups up to this size make pairs in round two; larger ones are compared in blocks.
 SMALL_GROUP = 8
 BLOCK_U, BLOCK_V = 256, 1024
-#: Pairs that a group may compare in round two before a second band must agree.
-HOT_COST = 1 << 30
+#: Shingles that a side of a block holds, about (some 12 MB of text; a longer text is a block of its own size).
+BLOCK_SHINGLES = 2_000_000
 #: Bits of the filter that spares the shuffle of texts without candidates (half a MB).
 FILTER_BITS = 1 << 22
 
@@ -273,11 +271,10 @@ def _cross_pairs(groups: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _mixed_groups(groups: DataFrame, first: DataFrame, reps: DataFrame) -> DataFrame:
+def _mixed_groups(groups: DataFrame, first: DataFrame) -> DataFrame:
     """(key, id, component, first, m) of the groups of several components.
 
-    `first` is the component of the head, m the size of the group. Groups that would compare more than
-    HOT_COST pairs are dealt out by a second band.
+    `first` is the component of the head, m the size of the group.
     """
     own = first.select("id", F.col("component").alias("c"))
     of_head = first.select(F.col("id").alias("head"), F.col("component").alias("h"))
@@ -288,22 +285,10 @@ def _mixed_groups(groups: DataFrame, first: DataFrame, reps: DataFrame) -> DataF
             "key", "id", F.coalesce("c", "id").alias("component"), F.coalesce("h", "head").alias("first")
         )
     )
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("key").agg(
-            F.count("*").alias("m"), F.count_if(F.col("component") != F.col("first")).alias("u")
-        )
-        return rows.join(sizes.where("u > 0"), "key")
-
-    found = stored(mixed(placed), "mixed_groups")
-    hot = F.col("m") * F.col("u") > HOT_COST
-    columns = ["key", "id", "component", "first", "m"]
-    if found.where(hot).isEmpty():
-        return found.select(columns)
-    bands = band_members(reps).withColumnRenamed("key", "k2")
-    split = found.where(hot).drop("m", "u").withColumnRenamed("key", "k1").join(bands, "id")
-    split = split.where("k1 <> k2").select(F.xxhash64("k1", "k2").alias("key"), "id", "component", "first")
-    return found.where(~hot).select(columns).unionByName(mixed(split).select(columns))
+    sizes = placed.groupBy("key").agg(
+        F.count("*").alias("m"), F.count_if(F.col("component") != F.col("first")).alias("u")
+    )
+    return placed.join(sizes.where("u > 0"), "key").select("key", "id", "component", "first", "m")
 
 
 def block_links(u: pd.DataFrame, v: pd.DataFrame) -> tuple[list[int], list[int]]:
@@ -398,7 +383,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = stored(_groups(band_members(reps)), "groups")
     links = _confirm(_estimate(_star_pairs(groups), reps), docs, "star")
     first = stored(components(links), "components")
-    mixed = stored(_mixed_groups(groups, first, reps), "mixed")
+    mixed = stored(_mixed_groups(groups, first), "mixed")
     small = F.col("m") <= SMALL_GROUP
     more = _confirm(_estimate(_cross_pairs(mixed.where(small)), reps), docs, "rest")
     last = stored(_family_links(mixed.where(~small), reps, docs), "family_links")
