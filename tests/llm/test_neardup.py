@@ -54,17 +54,20 @@ def chains(seed, families=6, length=30, n=60):
             for _ in range(drawn.randrange(3)):
                 words[drawn.randrange(n)] = f"x{drawn.randrange(10_000)}"
             texts.append(" ".join(words))
-    texts += ["", "   ", None, texts[0]]
+    texts += ["", "   ", None, *texts[:1] * 5]
     drawn.shuffle(texts)
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("small,block_u,block_v,block_shingles", [(8, 256, 1024, 2_000_000), (1, 3, 5, 2_000_000), (1, 256, 1024, 300)])
-def test_chains_equal_all_pairs(spark, monkeypatch, small, block_u, block_v, block_shingles):
+@pytest.mark.parametrize("small,block_u,block_v,block_shingles,hot_share",
+    [(8, 256, 1024, 2_000_000, 1_000), (1, 3, 5, 2_000_000, 1), (1, 256, 1024, 300, 100)],
+)
+def test_chains_equal_all_pairs(spark, monkeypatch, small, block_u, block_v, block_shingles, hot_share):
     monkeypatch.setattr(neardup, "SMALL_GROUP", small)
     monkeypatch.setattr(neardup, "BLOCK_U", block_u)
     monkeypatch.setattr(neardup, "BLOCK_V", block_v)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block_shingles)
+    monkeypatch.setattr(neardup, "HOT_SHARE", hot_share)
     rows = chains(4)
     assert found(spark, rows) == components(rows)
 

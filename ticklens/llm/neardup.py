@@ -46,6 +46,8 @@ SMALL_GROUP = 8
 BLOCK_U, BLOCK_V = 256, 1024
 #: Shingles that a side of a block holds, about (some 12 MB of text; a longer text is a block of its own size).
 BLOCK_SHINGLES = 2_000_000
+#: A set that more than one in so many rows have is joined by broadcast; there are fewer of these.
+HOT_SHARE = 1_000
 #: Bits of the filter that spares the shuffle of texts without candidates (half a MB).
 FILTER_BITS = 1 << 22
 
@@ -377,9 +379,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     own = stored(sketches(docs), "sketches")
     same = ["n", "low", "high"]
-    classes = own.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    reps = own.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"])
-    reps = stored(reps.dropDuplicates([*same, "doc_id"]).select("doc_id", "n", "sketch"), "reps")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    first_of = F.min(F.struct("doc_id", "sketch")).alias("first")
+    classes = own.where(linked).groupBy(*same).agg(first_of, F.count("*").alias("rows"))
+    classes = stored(classes.select("first.*", *same, "rows"), "reps")
+    reps = classes.select("doc_id", "n", "sketch")
     groups = stored(_groups(band_members(reps)), "groups")
     links = _confirm(_estimate(_star_pairs(groups), reps), docs, "star")
     first = stored(components(links), "components")
@@ -388,17 +392,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _confirm(_estimate(_cross_pairs(mixed.where(small)), reps), docs, "rest")
     last = stored(_family_links(mixed.where(~small), reps, docs), "family_links")
     final = stored(components(links.union(more).union(last)), "components")
-    by_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
-        *same, F.coalesce("component", "rep").alias("component_id")
+    by_class = classes.select(F.col("doc_id").alias("id"), *same, "rows").join(final, "id", "left")
+    by_class = stored(
+        by_class.select(*same, "rows", F.coalesce("component", "id").alias("component_id")), "by_class"
     )
-    found = own.select("doc_id", *same).join(by_class, same, "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
-    component = F.coalesce(component, F.col("doc_id"))
-    return found.select(
+    # Copies of one text may be a third of all rows, so sets of many rows are not joined through a shuffle.
+    total = by_class.agg(F.sum("rows")).first()[0] or 0
+    hot = F.col("rows") * HOT_SHARE > total
+    few = F.broadcast(by_class.where(hot).drop("rows"))
+    rows = own.select("doc_id", *same)
+    alone = rows.where(~linked).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    copied = rows.where(linked).join(few, same).select(alone.columns)
+    others = rows.where(linked).join(few, same, "left_anti").join(by_class.where(~hot), same).select(alone.columns)
+    return alone.unionByName(copied).unionByName(others).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        "component_id",
+        F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 
