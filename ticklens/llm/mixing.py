@@ -59,24 +59,25 @@ class Domains:
 
     def evidence(self, slots: Column, n: Column) -> Column:
         """For each domain but the first: the sum of the weights of distinct slots, and that of a hundred words."""
+        used = np.flatnonzero(self.tables.any(axis=0))
+        if not len(used):
+            return F.array_repeat(F.lit(0.0), 2 * len(self.tables))
+        known = F.split(F.lit(",".join(map(str, used))), ",").cast("array<int>")
         tables = [
-            F.split(F.lit(",".join(f"{v:.6g}" for v in row)), ",").cast("array<double>") for row in self.tables
+            F.split(F.lit(",".join(f"{v:.6g}" for v in row)), ",").cast("array<double>")
+            for row in self.tables[:, used]
         ]
 
-        def telling(slot):
-            found = F.lit(False)
-            for table in tables:
-                found = found | (F.get(table, slot) != 0)
-            return found
+        def total(places: Column, table: Column) -> Column:
+            return F.aggregate(places, F.lit(0.0), lambda x, at: x + F.element_at(table, at))
 
-        def total(known: Column, table: Column) -> Column:
-            return F.aggregate(known, F.lit(0.0), lambda x, slot: x + F.get(table, slot))
+        def both(sums: Column) -> Column:
+            return F.concat(sums, F.transform(sums, lambda v: 100 * v / F.greatest(n, F.lit(1))))
 
-        def sums(known: Column) -> Column:
-            out = [total(known, table) for table in tables]
-            return F.array(*out, *(100 * v / F.greatest(n, F.lit(1)) for v in out))
-
-        return bound(F.array_distinct(F.filter(slots, telling)), sums)
+        places = F.transform(
+            F.array_intersect(slots, known), lambda slot: F.array_position(known, slot).cast("int")
+        )
+        return bound(places, lambda at: bound(F.array(*(total(at, table) for table in tables)), both))
 
     def posterior(self, evidence: Column) -> Column:
         def softmax(logs: Column) -> Column:
