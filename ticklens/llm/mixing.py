@@ -74,9 +74,10 @@ class Domains:
         def both(sums: Column) -> Column:
             return F.concat(sums, F.transform(sums, lambda v: 100 * v / F.greatest(n, F.lit(1))))
 
-        places = F.transform(
-            F.array_intersect(slots, known), lambda slot: F.array_position(known, slot).cast("int")
-        )
+        place_of = np.zeros(BUCKETS, int)
+        place_of[used] = np.arange(1, len(used) + 1)
+        place = F.split(F.lit(",".join(map(str, place_of))), ",").cast("array<int>")
+        places = F.transform(F.array_intersect(slots, known), lambda slot: F.get(place, slot))
         return bound(places, lambda at: bound(F.array(*(total(at, table) for table in tables)), both))
 
     def posterior(self, evidence: Column) -> Column:
