@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,10 +12,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ticklens.llm import decontaminate, fingerprints, fixity, katz, licenses, mixing, neardup
 from ticklens.llm import quality, secrets, tokens
+from ticklens.llm.common import stored
 from ticklens.session import new_dir
 
 SCHEMA = "doc_id bigint, text string, lang string, n bigint"
@@ -147,6 +150,42 @@ def test_katz_equals_brute_force_and_adds_up_to_one(spark):
         assert (row["held_out"], row["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, total)
 
 
+class Table:
+    """Stands for a table: keeps what a task would run over its batches."""
+
+    def mapInArrow(self, rows, schema):
+        self.rows = rows
+        return self
+
+
+def test_katz_tasks_hold_little_and_one_block_at_a_time(spark):
+    drawn = random.Random(5)
+    words = [f"w{int(drawn.paretovariate(0.6)) % 60_000}" for _ in range(800_000)]
+    rows = [(i, " ".join(words[at : at + 1000])) for i, at in enumerate(range(0, len(words), 1000))]
+    blocks = stored(katz.token_blocks(frame(spark, rows).coalesce(1).repartition(2), F.lit(False)), "blocks")
+    assert blocks.count() == 2
+    counted = [stored(katz.add_counts(katz.ask_counts(blocks, 4, pairs=p)), "counts") for p in (False, True)]
+    alone, kept = katz.Unigrams(katz._stats(counted[0])), katz.Discounts(katz._stats(counted[1])[: katz.COUNTED])
+    placed = blocks
+    for answers, name in zip(counted, ("word_answers", "pair_answers")):
+        placed = placed.join(katz._by_block(answers, name), "block")
+    weights = stored(katz.add_weights(katz.ask_weights(placed, 4, alone, kept)), "weights")
+    placed = placed.join(katz._by_block(weights, "weight_answers"), "block", "left")
+    [batch] = placed.toArrow().combine_chunks().to_batches()
+    assert batch.num_rows == 2
+    longest = max(batch.column("n").to_pylist())
+    for work in (
+        katz.ask_counts(Table(), 4, pairs=True),
+        katz.ask_weights(Table(), 4, alone, kept),
+        katz.score_blocks(Table(), alone, kept),
+    ):
+        tracemalloc.start()
+        done = sum(1 for _ in work.rows([batch]))
+        held = tracemalloc.get_traced_memory()[1] / longest
+        tracemalloc.stop()
+        assert done == 2 and held < 60, held  # bytes a token; two blocks kept whole take 90
+
+
 def test_ledger_scans_only_what_is_new(spark):
     ledger = new_dir(spark, "ledger")
     secrets.create_ledger(spark, ledger)

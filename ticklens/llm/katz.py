@@ -8,10 +8,11 @@ of a history makes its probabilities add up to one.
 
 Texts become blocks of token numbers, stored in a table bucketed by block. A block asks for the
 training counts of its distinct words and pairs, and for the back-off weights it needs, by sending
-sorted keys with its own counts to the partition of the key; the partition adds them up and answers in the same
-order. So a word or pair that stands in every document arrives once per block, no
-vocabulary is ever in one place, and the work per partition is bounded. Keys travel as packed
-differences.
+sorted keys with its own counts to the bucket of the key, a range of keys; the bucket adds them up and answers in
+the same order. So a word or pair that stands in every document arrives once per block, no
+vocabulary is ever in one place, and the work per bucket is bounded. Keys travel as packed
+differences. A task holds one block or bucket at a time, with numbers of 32 bits where they are places, and
+works out what it needs of every pair over slices.
 
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased; each text ends
 with an end token, which is also the history of its first token; a NULL or empty text is its end token alone;
@@ -36,6 +37,10 @@ from ticklens.session import new_dir
 BLOCK_BYTES = 12 << 20
 #: Keys that a partition adds up, about.
 KEYS_PER_BUCKET = 2_000_000
+#: Elements that are worked on at once where each gives a few numbers of its own.
+SLICE = 1 << 17
+#: Bytes of text whose words are hashed at once.
+HASHED_BYTES = 1 << 20
 COUNTED = 256
 TURING_UP_TO = 5
 END = np.uint64(0x5851F42D4C957F2D)
@@ -69,35 +74,58 @@ def unpacked_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpacked_planes(raw, np.uint64), dtype=np.uint64)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and for every value the number of its distinct one."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    found, place = ordered[new], order[new].astype(np.int32)
+    del ordered
+    number = np.empty(len(values), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return found, place, number
+
+
+def slices(n: int):
+    return (slice(a, min(a + SLICE, n)) for a in range(0, n, SLICE))
+
+
 _BLOCKS = "block bigint, n bigint, words binary, tokens binary, docs array<bigint>, lens array<int>, held array<boolean>"
 
 
 def token_blocks(docs: DataFrame, held_out) -> DataFrame:
     """Blocks of documents as numbers of their distinct words (sorted hashes)."""
 
+    def block(number: int, ids: pa.Array, texts: pa.Array, held: pa.Array) -> pa.RecordBatch:
+        hashed = [word_hashes(part, NOT_SPACE) for _, part in chunks(texts, HASHED_BYTES)]
+        counts = np.concatenate([c for _, c in hashed])
+        tokens = np.empty(int(counts.sum()) + len(texts), np.uint64)
+        is_end = np.zeros(len(tokens), bool)
+        is_end[np.cumsum(counts + 1) - 1] = True
+        tokens[is_end] = END
+        tokens[~is_end] = np.concatenate([h for h, _ in hashed])
+        del hashed
+        words, _, at = distinct(tokens)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()),
+                pa.array([len(tokens)], pa.int64()),
+                pa.array([packed_keys(words)], pa.binary()),
+                pa.array([packed_planes(at.view(np.uint32))], pa.binary()),
+                pa.ListArray.from_arrays([0, len(texts)], ids),
+                pa.ListArray.from_arrays([0, len(texts)], pa.array((counts + 1).astype(np.int32))),
+                pa.ListArray.from_arrays([0, len(texts)], held),
+            ],
+            ["block", "n", "words", "tokens", "docs", "lens", "held"],
+        )
+
     def rows(batches):
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for first, part in chunks(batch.column(1), BLOCK_BYTES):
-                hashes, counts = word_hashes(part, NOT_SPACE)
-                ends = np.cumsum(counts + 1) - 1
-                tokens = np.empty(len(hashes) + len(part), np.uint64)
-                is_end = np.zeros(len(tokens), bool)
-                is_end[ends] = True
-                tokens[is_end], tokens[~is_end] = END, hashes
-                words, at = np.unique(tokens, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number], pa.int64()),
-                        pa.array([len(tokens)], pa.int64()),
-                        pa.array([packed_keys(words)], pa.binary()),
-                        pa.array([packed_planes(at.astype(np.uint32))], pa.binary()),
-                        pa.ListArray.from_arrays([0, len(part)], batch.column(0).slice(first, len(part))),
-                        pa.ListArray.from_arrays([0, len(part)], pa.array((counts + 1).astype(np.int32))),
-                        pa.ListArray.from_arrays([0, len(part)], batch.column(2).slice(first, len(part))),
-                    ],
-                    ["block", "n", "words", "tokens", "docs", "lens", "held"],
-                )
+                ids, held = (batch.column(c).slice(first, len(part)) for c in (0, 2))
+                yield block(number, ids, part, held)
                 number += 1
 
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out.alias("held"))
@@ -105,45 +133,41 @@ def token_blocks(docs: DataFrame, held_out) -> DataFrame:
 
 
 class Block:
-    """The tokens and pairs of a block; everything is in an order that can be made again."""
+    """The tokens of a block and, on demand, its pairs in the order of their keys."""
 
-    def __init__(self, row: dict, buckets: int):
+    def __init__(self, row: dict):
         self.words = unpacked_keys(row["words"])
-        self.tokens = unpacked_planes(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = unpacked_planes(row["tokens"], np.uint32).view(np.int32)
         self.docs, self.lens = row["docs"], np.array(row["lens"], np.int64)
         self.held = np.repeat(np.array(row["held"], bool), self.lens)
-        end = np.searchsorted(self.words, END)
-        before = np.concatenate([[end], self.tokens[:-1]])
-        pairs, self.pair = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        self.history, self.word = np.divmod(pairs, len(self.words))
+
+    def find_pairs(self) -> None:
+        before = np.empty_like(self.tokens)
+        before[0], before[1:] = np.searchsorted(self.words, END), self.tokens[:-1]
         odd = np.uint64(0x9E3779B97F4A7C15)
-        self.pair_keys = mix(self.words[self.history] * odd + self.words[self.word])
-        self.buckets = buckets
+        keys = np.empty(len(before), np.uint64)
+        for s in slices(len(before)):
+            keys[s] = mix(self.words[before[s]] * odd + self.words[self.tokens[s]])
+        self.pair_keys, place, self.pair = distinct(keys)
+        self.history, self.word = before[place], self.tokens[place]
 
-    def order(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys by bucket and size; and where each bucket starts."""
-        bucket = (keys % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((keys, bucket))
-        return order, np.searchsorted(bucket[order], np.arange(self.buckets + 1))
 
-    def answered(self, keys: np.ndarray, answers: list[dict], kind) -> np.ndarray:
-        """Put the answers of all buckets back into the order of `keys`."""
-        order, _ = self.order(keys)
-        out = np.empty(len(keys), kind)
-        parts = [unpacked(a["answer"], kind) for a in sorted(answers, key=lambda a: a["bucket"])]
-        out[order] = np.concatenate(parts) if parts else np.zeros(0, kind)
-        return out
+def answered(answers: list[dict], kind) -> np.ndarray:
+    """The answers of all buckets, in the order of the keys."""
+    parts = [unpacked(a["answer"], kind) for a in sorted(answers, key=lambda a: a["bucket"])]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 _ASK = "bucket int, block bigint, keys binary, counts binary"
 _ANSWER = "bucket int, block bigint, answer binary, stats array<bigint>"
 
 
-def _asked(number: int, block: Block, keys: np.ndarray, columns: dict[str, np.ndarray]):
-    """One row per bucket that has keys."""
-    order, at = block.order(keys)
-    some = [b for b in range(block.buckets) if at[b + 1] > at[b]]
-    cut = [order[at[b] : at[b + 1]] for b in some]
+def _asked(number: int, buckets: int, keys: np.ndarray, columns: dict[str, np.ndarray]):
+    """One row per bucket that has some of the sorted keys; buckets are equal ranges of the hashes."""
+    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    at = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+    some = [b for b in range(buckets) if at[b + 1] > at[b]]
+    cut = [slice(at[b], at[b + 1]) for b in some]
     arrays = [pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64())]
     arrays.append(pa.array([packed_keys(keys[c]) for c in cut], pa.binary()))
     for values in columns.values():
@@ -151,29 +175,37 @@ def _asked(number: int, block: Block, keys: np.ndarray, columns: dict[str, np.nd
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "keys", *columns])
 
 
-def _rows(batches):
-    for batch in batches:
-        yield from batch.to_pylist()
+def _each_row(work):
+    """A function of batches that does the work for one row at a time and keeps nothing of it."""
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield work(batch.slice(at, 1).to_pylist()[0])
+
+    return rows
 
 
 def ask_counts(blocks: DataFrame, buckets: int, pairs: bool) -> DataFrame:
     """Training counts of each block's words or pairs."""
 
-    def rows(batches):
-        for row in _rows(batches):
-            block = Block(row, buckets)
-            keys, at = (block.pair_keys, block.pair) if pairs else (block.words, block.tokens)
-            counts = np.bincount(at[~block.held], minlength=len(keys)).astype(np.uint32)
-            yield _asked(row["block"], block, keys, {"counts": counts})
+    def ask(row: dict) -> pa.RecordBatch:
+        block = Block(row)
+        if pairs:
+            block.find_pairs()
+        keys, at = (block.pair_keys, block.pair) if pairs else (block.words, block.tokens)
+        counts = np.bincount(at[~block.held], minlength=len(keys)).astype(np.uint32)
+        return _asked(row["block"], buckets, keys, {"counts": counts})
 
-    return blocks.mapInArrow(rows, _ASK)
+    return blocks.mapInArrow(_each_row(ask), _ASK)
 
 
 def _merged(table: pa.Table):
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
     keys = [unpacked_keys(r["keys"]) for r in rows]
-    known, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return rows, np.cumsum([0, *map(len, keys)]), known, at
+    edges = np.cumsum([0, *map(len, keys)])
+    known, _, at = distinct(np.concatenate(keys))
+    return rows, edges, len(known), at
 
 
 def add_counts(asked: DataFrame) -> DataFrame:
@@ -184,15 +216,16 @@ def add_counts(asked: DataFrame) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         rows, edges, known, at = _merged(table)
-        counts = np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-        totals = np.bincount(at, counts, len(known)).astype(np.int64)
-        some = np.flatnonzero(counts)
-        _, first = np.unique(at[some], return_index=True)
+        counts = np.concatenate([unpacked(r["counts"], np.uint32) for r in rows])
+        totals = np.bincount(at, counts, known).astype(np.int64)
+        some = np.flatnonzero(counts)[::-1]
+        owner = np.full(known, -1)
+        owner[at[some]] = some  # of a key's places the last one written stays: its first
         out = totals[at]
-        out[some[first]] *= -1
+        out[owner[owner >= 0]] *= -1
         kinds = np.bincount(np.minimum(totals, COUNTED + 1), minlength=COUNTED + 2)[1 : COUNTED + 1]
         stats = [*kinds.tolist(), int((totals > 0).sum()), int(totals.sum())]
-        answers = [packed(out[a:b].astype(np.int64)) for a, b in zip(edges, edges[1:])]
+        answers = [packed(out[a:b]) for a, b in zip(edges, edges[1:])]
         return pa.table(
             {
                 "bucket": pa.array([r["bucket"] for r in rows] + [rows[0]["bucket"]], pa.int32()),
@@ -266,18 +299,20 @@ _WEIGH = "bucket int, block bigint, keys binary, pair_mass binary, word_mass bin
 class Placed:
     """A block with the answers to its counts."""
 
-    def __init__(self, row: dict, buckets: int, unigrams: Unigrams, pairs: Discounts):
-        self.block = Block(row, buckets)
-        b = self.block
-        self.count = np.abs(b.answered(b.words, row["word_answers"], np.int64))
-        own = b.answered(b.pair_keys, row["pair_answers"], np.int64)
-        self.owned, self.pair_count = own < 0, np.abs(own)
+    def __init__(self, row: dict, unigrams: Unigrams, pairs: Discounts):
+        self.block = b = Block(row)
+        b.find_pairs()
+        self.count = np.abs(answered(row["word_answers"], np.int64))
         self.p_word = unigrams(self.count)
-        self.of_history = self.count[b.history]
-        share = pairs(self.pair_count) * self.pair_count / np.maximum(self.of_history, 1)
-        self.share = np.where(self.pair_count > 0, share, 0.0)
-        #: Pairs that need the weight of their history.
-        self.backs_off = (self.pair_count == 0) & (self.of_history > 0)
+        own = answered(row["pair_answers"], np.int64)
+        #: Pairs that training has; those that this block owns; those that need the weight of their history.
+        self.seen, self.owned, self.backs_off = own != 0, own < 0, own == 0
+        self.share = np.empty(len(own))
+        for s in slices(len(own)):
+            count, of_history = np.abs(own[s]), self.count[b.history[s]]
+            self.share[s] = pairs(count) * count / np.maximum(of_history, 1)
+            self.backs_off[s] &= of_history > 0
+        self.share[~self.seen] = 0.0
         needed = np.zeros(len(b.words), bool)
         needed[b.history[self.backs_off]] = True
         given = np.zeros(len(b.words), bool)
@@ -289,16 +324,16 @@ class Placed:
 def ask_weights(placed: DataFrame, buckets: int, unigrams: Unigrams, pairs: Discounts) -> DataFrame:
     """What each block's own pairs take from their histories, and the histories it asks for."""
 
-    def rows(batches):
-        for row in _rows(batches):
-            p = Placed(row, buckets, unigrams, pairs)
-            b, n, own = p.block, len(p.block.words), p.owned
-            pair_mass = np.bincount(b.history[own], p.share[own], n)[p.sent]
-            word_mass = np.bincount(b.history[own], p.p_word[b.word[own]], n)[p.sent]
-            columns = {"pair_mass": pair_mass, "word_mass": word_mass, "ask": p.needed[p.sent]}
-            yield _asked(row["block"], b, b.words[p.sent], columns)
+    def ask(row: dict) -> pa.RecordBatch:
+        p = Placed(row, unigrams, pairs)
+        b, n, own = p.block, len(p.block.words), p.owned
+        history = b.history[own]
+        pair_mass = np.bincount(history, p.share[own], n)[p.sent]
+        word_mass = np.bincount(history, p.p_word[b.word[own]], n)[p.sent]
+        columns = {"pair_mass": pair_mass, "word_mass": word_mass, "ask": p.needed[p.sent]}
+        return _asked(row["block"], buckets, b.words[p.sent], columns)
 
-    return placed.mapInArrow(rows, _WEIGH)
+    return placed.mapInArrow(_each_row(ask), _WEIGH)
 
 
 def add_weights(asked: DataFrame) -> DataFrame:
@@ -307,7 +342,7 @@ def add_weights(asked: DataFrame) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         rows, edges, known, at = _merged(table)
         mass = [np.concatenate([unpacked(r[c], np.float64) for r in rows]) for c in ("pair_mass", "word_mass")]
-        pair_mass, word_mass = (np.bincount(at, m, len(known)) for m in mass)
+        pair_mass, word_mass = (np.bincount(at, m, known) for m in mass)
         weight = (1 - pair_mass) / (1 - word_mass)
         ask = [unpacked(r["ask"], bool) for r in rows]
         out = [packed(np.where(k, weight[at[a:b]], 0.0)) for k, a, b in zip(ask, edges, edges[1:])]
@@ -326,34 +361,34 @@ def add_weights(asked: DataFrame) -> DataFrame:
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def score_blocks(placed: DataFrame, buckets: int, unigrams: Unigrams, pairs: Discounts) -> DataFrame:
+def score_blocks(placed: DataFrame, unigrams: Unigrams, pairs: Discounts) -> DataFrame:
     """Scores of the documents of each block, once all answers are there."""
     base_total = unigrams.total + unigrams.vocabulary + 1
 
-    def rows(batches):
-        for row in _rows(batches):
-            p = Placed(row, buckets, unigrams, pairs)
-            b = p.block
-            weight = np.ones(len(b.words))
-            weight[p.sent] = b.answered(b.words[p.sent], row["weight_answers"] or [], np.float64)
-            backed = p.p_word[b.word] * np.where(p.backs_off, weight[b.history], 1.0)
-            of_pair = np.log10(np.where(p.pair_count > 0, p.share, backed))
-            of_word = np.log10((p.count + 1) / base_total)
-            starts = np.cumsum(b.lens) - b.lens
-            held = b.held[starts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(b.docs, pa.int64()),
-                    pa.array(held),
-                    pa.array(b.lens),
-                    pa.array(np.add.reduceat((p.count > 0)[b.tokens].astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(of_word[b.tokens], starts)),
-                    pa.array(np.add.reduceat(of_pair[b.pair], starts)),
-                ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
-
-    return placed.mapInArrow(rows, _SCORES)
+    def scored(row: dict) -> pa.RecordBatch:
+        p = Placed(row, unigrams, pairs)
+        b = p.block
+        weight = np.ones(len(b.words))
+        weight[p.sent] = answered(row["weight_answers"] or [], np.float64)
+        of_pair = p.share
+        for s in slices(len(of_pair)):
+            backed = p.p_word[b.word[s]] * np.where(p.backs_off[s], weight[b.history[s]], 1.0)
+            of_pair[s] = np.log10(np.where(p.seen[s], of_pair[s], backed))
+        of_word = np.log10((p.count + 1) / base_total)
+        starts = np.cumsum(b.lens) - b.lens
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(b.docs, pa.int64()),
+                pa.array(b.held[starts]),
+                pa.array(b.lens),
+                pa.array(np.add.reduceat((p.count > 0)[b.tokens], starts, dtype=np.int64)),
+                pa.array(np.add.reduceat(of_word[b.tokens], starts)),
+                pa.array(np.add.reduceat(of_pair[b.pair], starts)),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    return placed.mapInArrow(_each_row(scored), _SCORES)
 
 
 def _by_block(answers: DataFrame, name: str) -> DataFrame:
@@ -379,5 +414,5 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     )
     weights = stored(add_weights(ask_weights(placed, buckets, unigrams, discounts)), "katz_weights")
     placed = placed.join(_by_block(weights, "weight_answers"), "block", "left")
-    scores = score_blocks(placed, buckets, unigrams, discounts)
+    scores = score_blocks(placed, unigrams, discounts)
     return scores.withColumn("train_tokens", F.lit(unigrams.total).cast("bigint"))
